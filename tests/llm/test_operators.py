@@ -329,7 +329,7 @@ def test_forward_sums_all_segmentations():
     prob = np.append(np.random.default_rng(1).uniform(0, 1, (6, 2)), np.zeros((1, 2)), 0)
 
     def total(word, lang):
-        return 1.0 if not word else sum(prob[table.get(word[:k], 0), lang] * total(word[k:], lang) for k in range(1, 4) if word[:k] in table or k == 1)
+        return 1.0 if not word else sum(prob[table.get(word[:k], 0), lang] * total(word[k:], lang) for k in range(1, min(3, len(word)) + 1) if word[:k] in table or k == 1)
 
     names = ["a", "ab", "abab", "babaab", "aXb"]
     lengths, ids = lattice(names, table)
