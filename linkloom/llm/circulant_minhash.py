@@ -9,8 +9,8 @@ Pairs are never expanded within a group:
 2. in each bucket every representative is compared with one hub (the smallest id), then, if its component differs, with a
    second hub (the smallest under a hash);
 3. what remains are buckets that still hold several components: their cross-component pairs are joined under a condition
-   on sizes and on 4096-bit sketches (low bits of circulant coordinates), which leaves only pairs near or above the threshold:
-   one at similarity 0.8 is left out with a probability under 1e-9, since it would have to differ by six deviations.
+   on sizes and on 2048-bit sketches (low bits of circulant coordinates), which leaves only pairs near or above the threshold:
+   one at similarity 0.8 is left out with a probability under 1e-9, since it would have to differ by six deviations. A pair is taken at its first common bucket alone.
 
 Defined cases: null text, or text without words, has an empty set, links with nothing and is kept; repeated rows with one
 id get equal results; an empty table gives an empty result; other columns are not looked at.
@@ -32,7 +32,7 @@ from .shingles import mix, shingle_arrays, shingle_set
 BANDS, ROWS = 40, 6
 SHINGLE = 5
 THRESHOLD = 80
-SKETCH = 4096
+SKETCH = 2048
 _PIECE = 1 << 15
 
 
@@ -140,10 +140,17 @@ def _sketches(sets: DataFrame, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = np.empty((batch.num_rows, bits // 64), np.int64)
-            for row, packed in zip(words, batch.column(1)):
-                low = circulant_signatures(np.frombuffer(packed.as_py(), np.uint64), np.zeros(1, np.int64), bits) & np.uint32(1)
-                row[:] = np.packbits(low.astype(np.uint8)).view(np.int64)
+            found = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(1)]
+            words, a = np.empty((len(found), bits // 64), np.int64), 0
+            while a < len(found):  # about _PIECE hashes at a time
+                b, size = a + 1, len(found[a])
+                while b < len(found) and size + len(found[b]) <= _PIECE:
+                    size += len(found[b])
+                    b += 1
+                offsets = np.concatenate(([0], np.cumsum([len(s) for s in found[a : b - 1]], dtype=np.int64)))
+                low = circulant_signatures(np.concatenate(found[a:b]), offsets, bits) & np.uint32(1)
+                words[a:b] = np.packbits(low.astype(np.uint8), axis=1).view(np.int64)
+                a = b
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(words[:, k]) for k in range(words.shape[1])]], ["v", *names])
 
     return sets.select("v", "members").mapInArrow(run, "v long, " + ", ".join(f"{n} long" for n in names))
@@ -179,11 +186,12 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHO
             open_keys = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key")
             named = named.join(open_keys, "key")
             sketches = materialize(_sketches(sets.join(named.select(F.col("rep").alias("v")).distinct(), "v", "left_semi"), SKETCH), "sketches")
-            named = materialize(named.join(sketches.withColumnRenamed("v", "rep"), "rep"), "open-buckets")
+            held = named.groupBy("rep").agg(F.collect_set("key").alias("keys"))  # at most one per band
+            named = materialize(named.join(held, "rep").join(sketches.withColumnRenamed("v", "rep"), "rep"), "open-buckets")
             parts64 = [c for c in sketches.columns if c != "v"]
-            hubs = named.select("key", F.col("rep").alias("hub"), F.col("n").alias("m"), F.col("c").alias("d"), *[F.col(c).alias(f"o{c}") for c in parts64])
+            hubs = named.select("key", F.col("rep").alias("hub"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("keys").alias("okeys"), *[F.col(c).alias(f"o{c}") for c in parts64])
             apart = F.expr(" + ".join(f"bit_count({c} ^ o{c})" for c in parts64))
-            close = close & (F.col("rep") < F.col("hub")) & (apart <= most_different(threshold, SKETCH))
+            close = close & (F.col("rep") < F.col("hub")) & (apart <= most_different(threshold, SKETCH)) & (F.array_min(F.array_intersect("keys", "okeys")) == F.col("key"))
         pairs = named.join(hubs, "key").filter((F.col("c") != F.col("d")) & close)
         pairs = pairs.select(*ordered).distinct()
         pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
