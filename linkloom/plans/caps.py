@@ -1,0 +1,44 @@
+"""Greedy per-family cap plan over a small table of volumes and coverage."""
+
+from __future__ import annotations
+
+from typing import TYPE_CHECKING
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+if TYPE_CHECKING:
+    from .chain import Chain
+
+LEVELS = (500, 1_000, 5_000, 20_000, 100_000)
+PLAN_BUDGET = 100_000
+
+
+def cap_plan(c: Chain, levels: tuple[int, ...] = LEVELS, budget: int = PLAN_BUDGET) -> DataFrame:
+    """family, cap, volume: caps raised one level at a time where true pairs gained per added volume are most, within budget.
+
+    The loop runs on the driver over families x levels rows (at most 80), never over pairs.
+    """
+    buckets, spark = c.table("buckets"), c.spark
+    grid = spark.createDataFrame([(v,) for v in levels], "cap long")
+    volume = buckets.crossJoin(F.broadcast(grid)).filter("pc <= cap").groupBy("family", "cap").agg(F.sum("pc").alias("volume"))
+    best = c.sql("""SELECT x.family, g.s1_id, g.other_id, min(b.pc) AS pc FROM {gt} g JOIN {keys} x ON x.entity_id = g.s1_id JOIN {keys} y ON y.entity_id = g.other_id AND y.family = x.family
+        AND y.country = x.country AND y.payload = x.payload JOIN {buckets} b ON b.family = x.family AND b.country = x.country AND b.payload = x.payload AND b.other_source = y.source GROUP BY 1, 2, 3""")
+    covered = best.crossJoin(F.broadcast(grid)).filter("pc <= cap").groupBy("family", "cap").agg(F.count(F.lit(1)).alias("pairs"))
+    table = {(r["family"], r["cap"]): (r["volume"], r["pairs"] or 0) for r in volume.join(covered, ["family", "cap"], "left").collect()}
+    at = {f: 0 for f, _ in table}
+    worth = lambda f, i: table.get((f, levels[i]), (0, 0))
+    total = sum(worth(f, 0)[0] for f in at)
+    while True:
+        steps = []
+        for f, i in at.items():
+            if i + 1 < len(levels):
+                more, pairs = worth(f, i + 1)[0] - worth(f, i)[0], worth(f, i + 1)[1] - worth(f, i)[1]
+                if pairs > 0 and total + more <= budget:
+                    steps.append((pairs / max(more, 1), f, more))
+        if not steps:
+            break
+        _, f, more = max(steps)
+        at[f] += 1
+        total += more
+    return spark.createDataFrame([(f, levels[i], worth(f, i)[0]) for f, i in sorted(at.items())], "family string, cap long, volume long")
