@@ -19,7 +19,7 @@ def read_source(spark: SparkSession, path: str, limit: int | None = None) -> Dat
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
     """s1_id and its list of matched ids (empty for a singleton)."""
     parts = F.split("value", "\t", 2)
-    ids = F.filter(F.transform(F.split(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), ","), F.trim), lambda x: x.rlike(r"^S[23]-[0-9]+$"))
+    ids = F.filter(F.transform(F.split(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x.rlike(r"^S[23]-[0-9]+$"))
     return spark.read.text(path).select(F.trim(parts[0]).alias("s1_id"), ids.alias("others")).filter(F.col("s1_id").rlike(r"^S1-[0-9]+$"))
 
 
