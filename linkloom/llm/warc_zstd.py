@@ -142,7 +142,9 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
     spark = pages.sparkSession
     bounded_batches(spark, PAGES_PER_BATCH)
     full = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    sample = full.select("page_id", F.substring("payload", 1, SAMPLE_BYTES).alias("p")).orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES).collect()
+    chosen = full.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES)  # ids alone go to the driver's sort
+    rows = full.join(F.broadcast(chosen), "page_id").select("page_id", F.substring("payload", 1, SAMPLE_BYTES).alias("p")).dropDuplicates(["page_id"]).collect()
+    sample = sorted(rows, key=lambda r: r["page_id"])
     dictionary = train_dictionary([record(r["page_id"], "", bytes(r["p"]), None) for r in sample])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
