@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, fresh_path, materialize
 from .raw_files import MARK, read_raw, write_raw
-from .tokens import encoder, vocabulary
+from .tokens import TEXTS, encoder, vocabulary
 
 BLOCK = 1 << 16
 END_ID = 2
@@ -143,8 +143,10 @@ def write_ids(docs: DataFrame, path: str, shards: int | None = None, bits: bool
 
         def rows() -> Iterator[tuple[int, bytes]]:
             for batch in batches:
-                for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    yield i, encode([text])[0] + end
+                for a in range(0, batch.num_rows, TEXTS):
+                    part = batch.slice(a, TEXTS)
+                    for i, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
+                        yield i, ids + end
 
         for blob in shard_blobs(rows(), block, bits):
             yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], ["blob"])

@@ -123,8 +123,8 @@ def pieces(docs: DataFrame, capacity: int, end_id: int, path: str) -> DataFrame:
         encode = encoder(path).encode_batch
         for batch in batches:
             rows = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = encode([text])[0] + end
+            for i, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
+                data = ids + end
                 n = len(data) // 4
                 for a in range(0, n, capacity):
                     b = min(n, a + capacity)
