@@ -31,7 +31,8 @@ MAX_LANGS = 500
 PIECE_MAX = 8
 WORD_MAX = 28
 EM_ROUNDS = 3
-CACHED = 300_000
+#: Words whose likelihoods a worker keeps at most (about 150 bytes each).
+CACHED = 1_000_000
 _FLOOR = 1e-7
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -151,8 +152,8 @@ class Scorer:
 
     def score(self, words: list[str]) -> np.ndarray:
         total = np.zeros(self.prob.shape[1])
-        for a in range(0, len(words), CACHED // 2):  # so that the distinct words of one call always fit
-            part = words[a : a + CACHED // 2]
+        for a in range(0, len(words), CACHED // 8):  # so that the distinct words of one call always fit
+            part = words[a : a + CACHED // 8]
             try:
                 at = np.fromiter(map(self.row.__getitem__, part), np.int64, len(part))
             except KeyError:

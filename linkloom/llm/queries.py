@@ -51,7 +51,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bitplane_ids.ids_round_trip(_table(spark, sf_dir, "documents"), end_id=2)
+    return bitplane_ids.ids_round_trip(_table(spark, sf_dir, "documents"), end_id=2, bits=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

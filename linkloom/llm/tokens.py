@@ -2,8 +2,8 @@
 
 The library's own pre-tokeniser never merges across the pieces of its pattern, and in a text whose white space is single
 spaces and single line ends a piece never spans the place before a space or on either side of a line end. Such a text is
-cut there; each distinct unit is encoded by the library once per worker and kept (in two generations of
-at most CACHED units, which bounds memory). A text with any other white space is encoded whole by the library.
+cut there; each distinct unit is encoded by the library once per worker and kept (the store is emptied when it would pass
+CACHED units, which bounds memory). A text with any other white space is encoded whole by the library.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Units in each of the two halves that a worker keeps at most.
-CACHED = 200_000
+#: Units a worker keeps at most.
+CACHED = 400_000
 TEXTS = 100
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 _ODD = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff]")
@@ -48,38 +48,37 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.kept: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         self.model = self.library.model
         self.marks = {m: self._single(m) for m in _MARKS}
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
-        for a in range(0, len(texts), TEXTS):
-            part = texts[a : a + TEXTS]
-            cut = [t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if t and single_spaced(t) else None for t in part]
-            self._learn(set().union(*[units for units in cut if units]))
-            get = self.kept.__getitem__
-            for text, units in zip(part, cut):
-                out.append(b"".join(map(get, units)) if units else self._plain([text])[0] if text else b"")
+        out = []
+        for text in texts:
+            if not text:
+                out.append(b"")
+            elif not single_spaced(text):
+                out.append(self._plain([text])[0])
+            else:
+                units = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+                try:
+                    out.append(b"".join(map(self.kept.__getitem__, units)))
+                except KeyError:
+                    self._learn(set(units))
+                    out.append(b"".join(map(self.kept.__getitem__, units)))
         return out
 
     def _learn(self, units: set[str]) -> None:
-        """Keep the ids of units; when full, what was kept becomes the older half, from which units come back as they recur."""
         missing = units.difference(self.kept)
         if len(self.kept) + len(missing) > CACHED:
-            self.older, self.kept = self.kept, {}
-            missing = units
-        kept, older, single, marks, rest = self.kept, self.older, self._single, self.marks, []
-        if older:
-            back = missing & older.keys()
-            kept.update((u, older[u]) for u in back)
-            missing = missing - back
+            self.kept.clear()
+            missing = set(units)
+        kept, single, rest = self.kept, self._single, []
         for unit in missing:
             word = unit[1:] if unit[:1] == " " else unit
             if word.isalpha():
                 kept[unit] = single(unit)
             elif word[-1:] in _MARKS and word[:-1].isalpha():
-                kept[unit] = single(unit[:-1]) + marks[word[-1]]
+                kept[unit] = single(unit[:-1]) + self.marks[word[-1]]
             else:
                 rest.append(unit)
         kept.update(zip(rest, self._plain(rest)))
