@@ -16,6 +16,7 @@ no prediction looks at lang, source or doc_id.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -163,6 +164,16 @@ class Scorer:
         return total
 
 
+_latest: list = [None, None]
+
+
+def scorer_of(model: dict) -> Scorer:
+    """The model's scorer; a worker keeps the last one, with the words it has met, from task to task."""
+    if _latest[0] != model["name"]:
+        _latest[:] = [model["name"], Scorer(model["prob"], pieces(model["path"]))]
+    return _latest[1]
+
+
 def train(docs: DataFrame, sample: int = SAMPLE, path: str | None = None) -> dict | None:
     """Languages, priors and piece probabilities from docs(doc_id, text, lang); None without training rows."""
     usable = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
@@ -179,7 +190,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, path: str | None = None) -> dic
     if not counts:
         return None
     prior = np.array([sizes[k] for k in counts], float)
-    return {"langs": list(counts), "prior": np.log(prior / prior.sum()), "prob": fit(counts, pieces(path)), "path": path}
+    return {"langs": list(counts), "prior": np.log(prior / prior.sum()), "prob": fit(counts, pieces(path)), "path": path, "name": uuid.uuid4().hex}
 
 
 def predict(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -190,7 +201,7 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
     names = ["doc_id", "lang_pred", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = model and Scorer(model["prob"], pieces(model["path"]))
+        scorer = model and scorer_of(model)
         for batch in batches:
             langs, scores = [], []
             for text in batch.column(1).to_pylist():
