@@ -2,21 +2,27 @@
 
 The library's own pre-tokeniser never merges across the pieces of its pattern, and in a text whose white space is single
 spaces and single line ends a piece never spans the place before a space or on either side of a line end. Such a text is
-cut there; each distinct unit is encoded by the library once per worker and kept (the store is emptied when it would pass
-CACHED units, which bounds memory). A text with any other white space is encoded whole by the library.
+cut there by Arrow, which also finds the distinct units of a chunk of texts; each is encoded by the library once per worker
+and kept. Units are kept in two generations of half of CACHED each, which bounds memory: a full one replaces the older one,
+and a unit found in the older one moves on. A text with any other white space is encoded whole by the library.
 """
 
 from __future__ import annotations
 
 import re
 import struct
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-
-#: Units a worker keeps at most.
-CACHED = 400_000
-TEXTS = 100
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Units a worker keeps at most, but for those of one chunk.
+CACHED = 1_200_000
+#: Characters of the texts that are cut at once; a longer text is a chunk of its own.
+CHUNK = 4 << 20
+TEXTS = 1_000
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 _ODD = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff]")
 _MARKS = frozenset(",.!?;:")
@@ -48,39 +54,69 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.kept: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.model = self.library.model
         self.marks = {m: self._single(m) for m in _MARKS}
 
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        out = []
+    def encode_batch(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text, in order; about CHUNK characters of whole texts are worked on at once."""
+        held, size = [], 0
         for text in texts:
-            if not text:
-                out.append(b"")
-            elif not single_spaced(text):
-                out.append(self._plain([text])[0])
-            else:
-                units = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-                try:
-                    out.append(b"".join(map(self.kept.__getitem__, units)))
-                except KeyError:
-                    self._learn(set(units))
-                    out.append(b"".join(map(self.kept.__getitem__, units)))
+            if held and size + len(text or "") > CHUNK:
+                yield from self._encode_chunk(held)
+                held, size = [], 0
+            held.append(text or "")
+            size += len(held[-1])
+        yield from self._encode_chunk(held)
+
+    def _encode_chunk(self, texts: list[str]) -> list[bytes]:
+        plain = [bool(t) and single_spaced(t) for t in texts]
+        out = [b""] * len(texts)
+        odd = [i for i, t in enumerate(texts) if t and not plain[i]]
+        for i, ids in zip(odd, self._plain([texts[i] for i in odd])):
+            out[i] = ids
+        members = [i for i, p in enumerate(plain) if p]
+        if members:
+            cut = pa.array([texts[i] for i in members], pa.large_string())
+            cut = pc.split_pattern(pc.replace_substring(pc.replace_substring(cut, " ", "\0 "), "\n", "\0\n\0"), "\0")
+            units = cut.flatten().dictionary_encode()
+            place, bounds = units.indices.to_numpy(), cut.offsets.to_numpy()
+            known = self._ids(units.dictionary.to_numpy(zero_copy_only=False).tolist())
+            lengths = np.fromiter(map(len, known), np.int64, len(known)) >> 2
+            starts = np.cumsum(lengths) - lengths
+            n = lengths[place]
+            ends = np.cumsum(n)
+            ids = np.frombuffer(b"".join(known), "<u4")[np.repeat(starts[place] - ends + n, n) + np.arange(int(ends[-1]))].tobytes()
+            edges = np.concatenate((np.zeros(1, np.int64), ends))[bounds] * 4
+            for i, x, y in zip(members, edges[:-1].tolist(), edges[1:].tolist()):
+                out[i] = ids[x:y]
         return out
 
-    def _learn(self, units: set[str]) -> None:
-        missing = units.difference(self.kept)
-        if len(self.kept) + len(missing) > CACHED:
-            self.kept.clear()
-            missing = set(units)
-        kept, single, rest = self.kept, self._single, []
+    def _ids(self, units: list[str]) -> list[bytes]:
+        if len(self.kept) + len(units) > CACHED // 2:
+            self.old, self.kept = self.kept, {}
+        kept = self.kept
+        found = list(map(kept.get, units))
+        if None in found:
+            self._learn([u for u, ids in zip(units, found) if ids is None])
+            found = list(map(kept.__getitem__, units))
+        return found
+
+    def _learn(self, missing: list[str]) -> None:
+        kept, old, single, marks, rest = self.kept, self.old, self._single, self.marks, []
         for unit in missing:
-            word = unit[1:] if unit[:1] == " " else unit
-            if word.isalpha():
-                kept[unit] = single(unit)
-            elif word[-1:] in _MARKS and word[:-1].isalpha():
-                kept[unit] = single(unit[:-1]) + self.marks[word[-1]]
-            else:
-                rest.append(unit)
+            ids = old.get(unit)
+            if ids is None:
+                word = unit[1:] if unit[:1] == " " else unit
+                if word.isalpha():
+                    ids = single(unit)
+                elif word[-1:] in marks and word[:-1].isalpha():
+                    base = unit[:-1]
+                    ids = (kept.get(base) or old.get(base) or single(base)) + marks[word[-1]]
+                else:
+                    rest.append(unit)
+                    continue
+            kept[unit] = ids
         kept.update(zip(rest, self._plain(rest)))
 
     def _single(self, piece: str) -> bytes:
@@ -88,7 +124,7 @@ class Encoder:
         if piece.isascii():
             shown = "\u0120" + piece[1:] if piece[0] == " " else piece
         else:
-            shown = piece.encode().decode("latin-1").translate(_ALIAS)
+            shown = "".join(map(_ALIAS.__getitem__, piece.encode()))
         found = self.model.tokenize(shown)
         return _PACK[len(found)](*[t.id for t in found]) if len(found) < len(_PACK) else np.array([t.id for t in found], "<u4").tobytes()
 
