@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Units a worker keeps at most, but for those of one chunk.
-CACHED = 1_200_000
+CACHED = 800_000
 #: Characters of the texts that are cut at once; a longer text is a chunk of its own.
 CHUNK = 4 << 20
 TEXTS = 1_000
