@@ -353,3 +353,39 @@ def test_compact_windows(spark, docs, empty):
     assert out[5, 4]["n_words"] == 120 and out[5, 4]["matched_words"] == 119
     assert c.repeated_passages(empty).count() == 0
     assert c.repeated_passages(docs).count() > 0
+
+
+def test_encoder_turns_generations_over(monkeypatch):
+    """Whatever the chunks and however few units a worker keeps, ids equal the library's."""
+    from linkloom.llm import tokens as t
+
+    monkeypatch.setattr(t, "CACHED", 40)
+    monkeypatch.setattr(t, "CHUNK", 60)
+    rng = random.Random(3)
+    pool = ["der", "été,", "naïve", "It's", "3.14", "ok!!", "Straße", "日本語", "<|endoftext|>", "end.", "x;", "\U0001f600", "été", "end"]
+    texts = [None, "", " ", "\n", "a\tb", "a  b", "a \nb", "l" * 500]
+    texts += [rng.choice([" ", "\n"]).join(rng.choice(pool) + rng.choice(["", "", str(k)]) for k in range(rng.randint(1, 30))) for _ in range(200)]
+    encoder = t.Encoder(t.vocabulary())
+    assert list(encoder.encode_batch(texts)) == list(encoder.encode_batch(texts)) == [e.tobytes() for e in ids_of(encoder.library, texts)]
+    assert list(encoder.encode_batch([])) == []
+
+
+def ids_of(tokenizer, texts):
+    import numpy as np
+
+    return [np.array(tokenizer.encode(x or "", add_special_tokens=False).ids, "<u4") for x in texts]
+
+
+def test_compact_windows_recall(spark):
+    """Of the documents holding 51 words in a row that another holds, at least 0.99 are reported."""
+    from linkloom.llm import compact_windows as c
+
+    df = spark.read.parquet(SF.replace("0.001", "0.01") + "/documents.parquet")
+    holders = {}
+    for r in rows(df):
+        w = [x.lower() for x in words(r["text"] or "")]
+        for a in range(len(w) - 50):
+            holders.setdefault(hash(tuple(w[a : a + 51])), set()).add(r["doc_id"])
+    expected = {i for s in holders.values() if len(s) > 1 for i in s}
+    found = {r["doc_id"] for r in rows(c.repeated_passages(df))}
+    assert len(expected) > 50 and len(expected & found) >= 0.99 * len(expected)
