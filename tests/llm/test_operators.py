@@ -389,3 +389,16 @@ def test_compact_windows_recall(spark):
     expected = {i for s in holders.values() if len(s) > 1 for i in s}
     found = {r["doc_id"] for r in rows(c.repeated_passages(df))}
     assert len(expected) > 50 and len(expected & found) >= 0.99 * len(expected)
+
+
+def test_components_of_a_shuffled_chain(spark):
+    """A chain of 500 vertices in random order is one component; too few rounds are an error, not a part of the answer."""
+    from linkloom.llm.components import components
+
+    rng = random.Random(6)
+    chain, star = rng.sample(range(1, 10_000), 500), range(20_000, 20_040)
+    edges = spark.createDataFrame([*zip(chain, chain[1:]), *((20_039, i) for i in star[:-1])], "a long, b long")
+    out = {r["v"]: r["component"] for r in rows(components(edges))}
+    assert out == {**dict.fromkeys(chain, min(chain)), **dict.fromkeys(star, 20_000)}
+    with pytest.raises(RuntimeError):
+        components(edges, rounds=3)
