@@ -402,3 +402,17 @@ def test_components_of_a_shuffled_chain(spark):
     assert out == {**dict.fromkeys(chain, min(chain)), **dict.fromkeys(star, 20_000)}
     with pytest.raises(RuntimeError):
         components(edges, rounds=3)
+
+
+def test_compact_windows_behind_a_poor_hub(spark):
+    """Exact passages of 51 words are found though a smaller document holds every one of their shingles apart."""
+    from linkloom.llm import compact_windows as c
+
+    rng = random.Random(7)
+    fresh = lambda n: [f"y{rng.randint(0, 10**7)}" for _ in range(n)]
+    passage, twice = fresh(51), fresh(51)
+    hub = [w for k in range(47) for w in fresh(40) + passage[k : k + 5] + fresh(40)]
+    texts = [hub, fresh(60) + passage + fresh(60), fresh(45) + passage + fresh(80), fresh(5) + twice + fresh(70) + twice, fresh(60) + twice + fresh(9)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = {(r["doc_id"], r["class_id"], r["start_word"], r["n_words"]) for r in rows(c.repeated_passages(df))}
+    assert out == {(1, 1, 60, 51), (2, 1, 45, 51), (3, 3, 5, 51), (3, 3, 126, 51), (4, 3, 60, 51)}
