@@ -416,3 +416,24 @@ def test_compact_windows_behind_a_poor_hub(spark):
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     out = {(r["doc_id"], r["class_id"], r["start_word"], r["n_words"]) for r in rows(c.repeated_passages(df))}
     assert out == {(1, 1, 60, 51), (2, 1, 45, 51), (3, 3, 5, 51), (3, 3, 126, 51), (4, 3, 60, 51)}
+
+
+def test_passages_reach_past_edits():
+    """With an anchor on one side of an edit alone, the whole passage of 51 to 70 words is found."""
+    import numpy as np
+
+    from linkloom.llm.compact_windows import passages
+
+    rng = np.random.default_rng(8)
+    fresh = lambda n: rng.integers(0, 1 << 32, n, dtype=np.uint32)
+    for n in (52, 60, 70):
+        for edits in ([n // 2], [n // 3, 2 * n // 3]):
+            for change in ("substitute", "insert", "delete"):
+                for anchor in (0, n - 1):
+                    p = fresh(n)
+                    q = np.concatenate([x for k in range(n) for x in ([p[k : k + 1]] if k not in edits else {"substitute": [fresh(1)], "insert": [fresh(1), p[k : k + 1]], "delete": []}[change])])
+                    if len(q) <= 50:
+                        continue
+                    a, b = np.concatenate([fresh(30), p, fresh(30)]), np.concatenate([fresh(20), q, fresh(40)])
+                    at = [(30, 20)] if not anchor else [(29 + n, 19 + len(q))]
+                    assert [(x[0], x[1], x[2], x[3]) for x in passages(a, b, at, 50, 80)] == [(30, n, 20, len(q))], (n, edits, change, anchor)
