@@ -437,3 +437,18 @@ def test_passages_reach_past_edits():
                     a, b = np.concatenate([fresh(30), p, fresh(30)]), np.concatenate([fresh(20), q, fresh(40)])
                     at = [(30, 20)] if not anchor else [(29 + n, 19 + len(q))]
                     assert [(x[0], x[1], x[2], x[3]) for x in passages(a, b, at, 50, 80)] == [(30, n, 20, len(q))], (n, edits, change, anchor)
+
+
+def test_articles_in_forms_and_hinted_wrappers():
+    from linkloom.llm.host_suffix import blocks, main_text
+
+    text = lambda page: main_text(blocks(page))
+    inner = "<p>Own text.</p><form>f</form>"
+    assert text(f"<body><form id='aspnetForm'><nav>n</nav><article>{inner}</article><p>x</p></form>") == "Own text."
+    assert text(f"<article class='post no-sidebar'>{inner}</article>") == "Own text."
+    for wrapper in ("class='content has-sidebar'", "class='entry comments-open'", "class='page search' id='w'", "role='form'"):
+        assert text(f"<div {wrapper}>x<article>{inner}</article></div>") == "Own text.", wrapper
+        assert text(f"<div {wrapper}><form>x<div role='main'>{inner}</div></form></div>") == "Own text.", wrapper
+    for closed in ("div class='comments'", "ol class='comment-list'", "div id='comments' class='comments-area'", "nav", "footer", "aside", "div class='sidebar'", "div hidden"):
+        assert text(f"<article>Own text.</article><{closed}><form><article>x</article></form></{closed.split()[0]}>") == "Own text.", closed
+    assert text("<article>Own text.</article><article class='comment'>x</article>") == "Own text."
