@@ -6,8 +6,9 @@ frame. The index is a JSON document in a frame of its own: format, plane kind, a
 lengths; then the documents in order with their token counts. The last 16 bytes before the final mark give the index's
 place. A document may span chunks.
 
-Documents are dealt to shards by ranges of doc_id (sampled by Spark) and sorted within, so shards in order are documents in
-ascending id order. Start positions come from the shards' totals: one row per shard, summed by a window over that list.
+Documents are dealt to shards by ranges of doc_id and a hash of the text (sampled by Spark) and sorted within, so shards in order are documents
+in ascending id order; there are as many as the session's shuffle partitions, unless a number is given. Start positions are
+running totals of the shards' totals, in two levels.
 
 Defined cases: null or empty text is the end id alone; repeated rows are written once each, in a tie broken by text; null ids
 sort first; an empty table gives an empty result; other columns are not looked at.
@@ -25,14 +26,12 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh_path, materialize
+from .common import fresh_path, materialize, sliced, starts
 from .raw_files import MARK, read_raw, write_raw
 from .tokens import TEXTS, encoder, vocabulary
 
 BLOCK = 1 << 16
 END_ID = 2
-#: Bytes of text (as Spark estimates its input) that a shard should come from.
-SHARD_BYTES = 16 << 20
 _FORMAT = "bit-plane-ids-1"
 _TAIL = struct.Struct("<QQ")
 
@@ -129,24 +128,19 @@ def write_ids(docs: DataFrame, path: str, shards: int | None = None, bits: bool
     """Tokenize docs and write shard files under path in ascending doc_id order."""
     import pyarrow as pa
 
-    bounded_batches(docs.sparkSession)
     vocab, end = vocab or vocabulary(), np.array([end_id], "<u4").tobytes()
-    if shards is None:
-        spark = docs.sparkSession
-        size = int(docs.select("doc_id", "text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-        known = size < 1 << 60  # Spark reports a huge number for inputs that are not files
-        shards = max(size // SHARD_BYTES if known else int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    full = docs.select(F.col("doc_id").cast("long"), "text")
+    # without a number the session's shuffle partitions hold; the second key spreads an id that many texts share
+    order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc())
+    dealt = (full.repartitionByRange(*order) if shards is None else full.repartitionByRange(shards, *order)).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocab).encode_batch
 
         def rows() -> Iterator[tuple[int, bytes]]:
-            for batch in batches:
-                for a in range(0, batch.num_rows, TEXTS):
-                    part = batch.slice(a, TEXTS)
-                    for i, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
-                        yield i, ids + end
+            for part in sliced(batches, TEXTS):
+                for i, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
+                    yield i, ids + end
 
         for blob in shard_blobs(rows(), block, bits):
             yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], ["blob"])
@@ -167,7 +161,6 @@ def read_ids(spark, path: str) -> DataFrame:
                 columns = list(zip(*rows)) or [[], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array([path.as_py()] * n, pa.string()), pa.array(range(n), pa.int64()), *[pa.array(c, pa.int64()) for c in columns]], ["path", "position", "doc_id", "n_tokens", "ids_crc32"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     return read_raw(spark, path).mapInArrow(run, "path string, position long, doc_id long, n_tokens long, ids_crc32 long")
 
 
@@ -177,10 +170,8 @@ def ids_round_trip(docs: DataFrame, **options) -> DataFrame:
     path = fresh_path(spark, "token-ids")
     write_ids(docs, path, **options)
     read = materialize(read_ids(spark, path), "ids-read")
-    bounded_batches(spark)
     name = F.element_at(F.split("path", "/"), -1)  # part-NNNNN...: shards in order
-    read = read.withColumn("shard", F.regexp_extract(name, r"^part-(\d+)", 1).cast("int"))
-    totals = read.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
-    shards = totals.select("shard", F.coalesce(F.sum("total").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    read = read.withColumn("shard", F.regexp_extract(name, r"^part-(\d+)", 1).cast("long"))
+    shards = starts(read.groupBy("shard").agg(F.sum("n_tokens").alias("total")), "shard", "total")
     within = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return read.withColumn("within", within).join(shards, "shard").select("doc_id", (F.col("before") + F.col("within")).cast("long").alias("start"), "n_tokens", "ids_crc32")

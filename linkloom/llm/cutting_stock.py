@@ -9,11 +9,15 @@ own. Remainders are packed:
    revised simplex gives dual prices, an unbounded knapsack dynamic program over the capacity finds the pattern worth most,
    and the loop ends when none is worth more than one sequence;
 3. pattern counts are rounded down; the few pieces left over are packed first-fit, falling;
-4. pieces are ranked within their class and each rank maps to its pattern's copies by range arithmetic. Ranks come from
-   counts by (class, lane): lanes are hashes, so a class holding most pieces is still dealt to many tasks.
+4. pieces are ranked within their class and each rank maps to its pattern's copies by range arithmetic. A lane is the task
+   that cut the piece, so lanes grow with the input; ranks come from counts by (class, lane);
+5. as cuts are free, the program's waste is filled: the least filled sequences, as many as all gaps together hold, are taken
+   apart, their pieces laid end to end as one ribbon, and the ribbon is cut at the gaps of the sequences that stay (gaps
+   under MIN_CUT ids are left as padding; what is left of the ribbon fills sequences of its own). Ribbon and gaps are
+   running totals by lane, and meet in a join on cells of CAPACITY ids that either side touches twice at most.
 
 Defined cases: null or empty text is the end id alone; repeated rows are documents of their own (sequence and offset differ);
-an empty table gives an empty result; other columns are not looked at.
+a null doc_id is a document like any other; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,13 +29,16 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize
+from .common import materialize, sliced, starts, with_ids
 from .tokens import encoder, vocabulary
 
 CAPACITY = 2048
 GRAIN = 8
 END_ID = 1
-LANES = 256
+#: Smallest gap that is filled by a cut.
+MIN_CUT = 8
+#: Sequences whose gaps one task adds up.
+SEQUENCE_LANE = 1 << 16
 
 
 def price(values: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:
@@ -112,63 +119,114 @@ def plan(demand: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
     return chosen
 
 
-def pieces(docs: DataFrame, capacity: int, end_id: int, path: str) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens: full pieces and the remainder of each document."""
+def take_apart(chosen: list[tuple[dict[int, int], int]], mean: dict[int, float], capacity: int, least: int = MIN_CUT) -> list[tuple[dict[int, int], int, bool]]:
+    """(pattern, copies, apart): the least filled copies, as many as hold all gaps together, are to be taken apart.
+
+    mean: average length of each class's pieces in ids.
+    """
+    fill = [(sum(k * mean[c] for c, k in pattern.items()), pattern, n) for pattern, n in chosen]
+    spare = int(sum(n * (capacity - f) for f, _, n in fill if capacity - f >= least) // capacity)
+    out = []
+    for _, pattern, n in sorted(fill, key=lambda x: x[0]):
+        m = min(n, spare)
+        spare -= m
+        out += [(pattern, count, apart) for count, apart in ((m, True), (n - m, False)) if count]
+    return out
+
+
+def pieces(docs: DataFrame, capacity: int, grain: int, end_id: int, path: str) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, ids, kind, lane, at: full pieces (kind -1) and the remainder of each document.
+
+    kind is the length's class, lane the task, at the piece's number among those of its kind and lane.
+    """
     import pyarrow as pa
 
-    bounded_batches(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "kind", "lane", "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_batch
-        for batch in batches:
-            rows = []
+        from pyspark import TaskContext
+
+        encode, lane, met = encoder(path).encode_batch, TaskContext.get().partitionId(), {}
+        for batch in sliced(batches):
+            rows, ids_ = [], []
             for i, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
                 data = ids + end
                 n = len(data) // 4
                 for a in range(0, n, capacity):
                     b = min(n, a + capacity)
-                    rows.append((i, a, b - a, zlib.crc32(data[4 * a : 4 * b]), n))
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*rows)) or [[]] * 5)], names)
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
-
-
-def pack(docs: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN, end_id: int = END_ID, path: str | None = None, lanes: int = LANES) -> DataFrame:
-    """pieces() with sequence_id and offset."""
+                    kind = -1 if b - a == capacity else (b - a - 1) // grain
+                    at = met.get(kind, 0)
+                    met[kind] = at + 1
+                    part = data[4 * a : 4 * b]
+                    rows.append((i, a, b - a, zlib.crc32(part), n, kind, lane, at))
+                    ids_.append(part if kind >= 0 else None)
+            columns = [pa.array(c, pa.int64()) for c in (list(zip(*rows)) or [[]] * len(names))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(ids_, pa.binary())], [*names, "ids"])
+
+    schema = ", ".join(f"{n} long" for n in names) + ", ids binary"
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+
+
+def _cells(df: DataFrame, at: str, size: str, capacity: int) -> DataFrame:
+    """df once for each cell of capacity positions that [at, at + size) touches."""
+    return df.withColumn("cell", F.explode(F.sequence(F.floor(F.col(at) / capacity), F.floor((F.col(at) + F.col(size) - 1) / capacity))))
+
+
+def _cut(ribbon: DataFrame, used: DataFrame, base: int, capacity: int, least: int) -> DataFrame:
+    """The pieces of ribbon cut at the gaps of used(sequence_id, used); base is the first sequence of the ribbon's rest."""
+    spark = ribbon.sparkSession
+    order = Window.partitionBy("lane").orderBy("kind", "at").rowsBetween(Window.unboundedPreceding, -1)
+    ribbon = ribbon.withColumn("inner", F.coalesce(F.sum("length").over(order), F.lit(0)))
+    lanes = starts(ribbon.groupBy("lane").agg(F.sum("length").alias("n")), "lane", "n")
+    ribbon = materialize(with_ids(ribbon, lanes, "lane", "inner").withColumn("pos", F.col("before") + F.col("inner")).select("doc_id", "start", "length", "doc_tokens", "ids", "pos"), "ribbon")
+    gaps = used.withColumn("gap", capacity - F.col("used")).filter(F.col("gap") >= least).withColumn("lane", F.floor(F.col("sequence_id") / SEQUENCE_LANE))
+    order = Window.partitionBy("lane").orderBy("sequence_id").rowsBetween(Window.unboundedPreceding, -1)
+    lanes = starts(gaps.groupBy("lane").agg(F.sum("gap").alias("n")), "lane", "n")
+    gaps = gaps.withColumn("inner", F.coalesce(F.sum("gap").over(order), F.lit(0))).join(lanes, "lane").withColumn("gpos", F.col("before") + F.col("inner"))
+    gaps = materialize(gaps.select("sequence_id", "used", "gap", "gpos"), "gaps")
+    room, length = gaps.agg(F.sum("gap")).first()[0] or 0, ribbon.agg(F.sum("length")).first()[0] or 0
+    more = spark.range(max(0, -(-(length - room) // capacity)))
+    more = more.select((F.col("id") + base).alias("sequence_id"), F.lit(0).cast("long").alias("used"), F.lit(capacity).cast("long").alias("gap"), (F.col("id") * capacity + room).alias("gpos"))
+    met = _cells(ribbon, "pos", "length", capacity).join(_cells(gaps.union(more), "gpos", "gap", capacity), "cell")
+    a, b = F.greatest("pos", "gpos"), F.least(F.col("pos") + F.col("length"), F.col("gpos") + F.col("gap"))
+    met = met.withColumn("a", a).withColumn("b", b).filter((F.col("a") < F.col("b")) & (F.floor(F.col("a") / capacity) == F.col("cell")))
+    size, skip = F.col("b") - F.col("a"), F.col("a") - F.col("pos")
+    part = F.substring(F.col("ids"), (skip * 4 + 1).cast("int"), (size * 4).cast("int"))
+    return met.select("doc_id", (F.col("start") + skip).alias("start"), size.alias("length"), F.crc32(part).alias("ids_crc32"), "doc_tokens", "sequence_id", (F.col("used") + F.col("a") - F.col("gpos")).alias("offset"))
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN, end_id: int = END_ID, path: str | None = None, least: int = MIN_CUT) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
     spark = docs.sparkSession
-    lane = F.pmod(F.xxhash64("doc_id", "start"), F.lit(lanes))
-    kind = F.when(F.col("length") == capacity, F.lit(-1)).otherwise(F.floor((F.col("length") - 1) / grain)).cast("long")
-    cut = materialize(pieces(docs, capacity, end_id, path or vocabulary()).withColumn("kind", kind).withColumn("lane", lane), "pieces")
-    # at most (capacity / grain + 1) * lanes rows
-    counts = sorted((r["kind"], r["lane"], r["count"]) for r in cut.groupBy("kind", "lane").count().collect())
-    first, run, now = [], 0, None
+    cut = materialize(pieces(docs, capacity, grain, end_id, path or vocabulary()), "pieces")
+    by_kind = {r["kind"]: (r["n"], r["size"]) for r in cut.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("size")).collect()}  # at most capacity / grain + 1 rows
     demand = np.zeros(capacity // grain, np.int64)
-    for k, la, n in counts:
-        run = 0 if k != now else run
-        now = k
-        first.append((k, la, run))
-        run += n
+    for k, (n, _) in by_kind.items():
         if k >= 0:
-            demand[k] += n
-    full = sum(n for k, _, n in counts if k < 0)
-    spans, base, used = [(-1, 0, 1, 0)], full, {}
-    for pattern, n in plan(demand, capacity // grain):
+            demand[k] = n
+    base, used_ranks, spans = by_kind.get(-1, (0, 0))[0], {}, {-1: [(0, 1, 0)]}
+    mean = {k: size / n for k, (n, size) in by_kind.items()}
+    apart_any = False
+    for pattern, n, apart in take_apart(plan(demand, capacity // grain), mean, capacity, least):
         for c, k in pattern.items():
-            spans.append((c, used.get(c, 0), k, base))
-            used[c] = used.get(c, 0) + n * k
-        base += n
+            spans.setdefault(c, []).append((used_ranks.get(c, 0), k, -1 if apart else base))
+            used_ranks[c] = used_ranks.get(c, 0) + n * k
+        apart_any |= apart
+        base += 0 if apart else n
     # rank r of a class falls in the last span that begins at or before it
-    starts = spark.createDataFrame(first, "kind long, lane long, first long") if first else spark.createDataFrame([], "kind long, lane long, first long")
-    by_kind: dict[int, list] = {}
-    for c, s, k, b in spans:
-        by_kind.setdefault(c, []).append((s, k, b))
-    ranges = spark.createDataFrame([(c, sorted(v)) for c, v in by_kind.items()], "kind long, spans array<struct<s:long,k:long,b:long>>")
-    in_lane = F.row_number().over(Window.partitionBy("kind", "lane").orderBy("doc_id", "start", "ids_crc32")) - 1
-    ranked = cut.withColumn("at", in_lane).join(F.broadcast(starts), ["kind", "lane"]).withColumn("rank", F.col("first") + F.col("at"))
-    ranked = ranked.join(F.broadcast(ranges), "kind")
-    span = F.element_at(F.filter("spans", lambda x: x["s"] <= F.col("rank")), -1)
-    ranked = ranked.withColumn("span", span).withColumn("sequence_id", (F.col("span.b") + F.floor((F.col("rank") - F.col("span.s")) / F.col("span.k"))).cast("long"))
-    before = Window.partitionBy("sequence_id").orderBy(F.col("length").desc(), "doc_id", "start", "rank").rowsBetween(Window.unboundedPreceding, -1)
-    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"))
+    ranges = spark.createDataFrame([(c, sorted(v)) for c, v in spans.items()], "kind long, spans array<struct<s:long,k:long,b:long>>")
+    first = starts(cut.groupBy("kind", "lane").agg(F.count(F.lit(1)).alias("n")), "lane", "n", ("kind",))
+    ranked = with_ids(cut, first, ["kind", "lane"], "inner").withColumn("rank", F.col("before") + F.col("at")).join(F.broadcast(ranges), "kind")
+    ranked = ranked.withColumn("span", F.element_at(F.filter("spans", lambda x: x["s"] <= F.col("rank")), -1))
+    ranked = ranked.withColumn("sequence_id", (F.col("span.b") + F.floor((F.col("rank") - F.col("span.s")) / F.col("span.k"))).cast("long"))
+    shown = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id"]
+    whole = ranked.filter("kind = -1").select(*shown, F.lit(0).cast("long").alias("offset"))
+    before = Window.partitionBy("sequence_id").orderBy(F.col("length").desc(), "doc_id", "start", "kind", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    stay = ranked.filter("kind >= 0 AND span.b >= 0")
+    placed = whole.union(stay.select(*shown, F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset")))
+    if not apart_any:
+        return placed
+    ribbon = ranked.filter("kind >= 0 AND span.b < 0").select("doc_id", "start", "length", "doc_tokens", "ids", "kind", "lane", "at")
+    used = stay.groupBy("sequence_id").agg(F.sum("length").alias("used"))
+    return placed.union(_cut(ribbon, used, base, capacity, least))

@@ -4,7 +4,8 @@ The library's own pre-tokeniser never merges across the pieces of its pattern, a
 spaces and single line ends a piece never spans the place before a space or on either side of a line end. Such a text is
 cut there by Arrow, which also finds the distinct units of a chunk of texts; each is encoded by the library once per worker
 and kept. Units are kept in two generations of half of CACHED each, which bounds memory: a full one replaces the older one,
-and a unit found in the older one moves on. A text with any other white space is encoded whole by the library.
+and a unit found in the older one moves on. A text with any other white space, or with the string of one of the vocabulary's
+added tokens (which the library turns into that token), is encoded whole by the library.
 """
 
 from __future__ import annotations
@@ -52,7 +53,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added)) if added else None
         self.kept: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.model = self.library.model
@@ -70,7 +72,7 @@ class Encoder:
         yield from self._encode_chunk(held)
 
     def _encode_chunk(self, texts: list[str]) -> list[bytes]:
-        plain = [bool(t) and single_spaced(t) for t in texts]
+        plain = [bool(t) and single_spaced(t) and not (self.added and self.added.search(t)) for t in texts]
         out = [b""] * len(texts)
         odd = [i for i, t in enumerate(texts) if t and not plain[i]]
         for i, ids in zip(odd, self._plain([texts[i] for i in odd])):
