@@ -1,16 +1,18 @@
 """WARC archives compressed with Zstandard: one frame per record, dictionary in a leading skippable frame.
 
 Writing: payloads of at least a given size that are equal bytes share one response record, that of the smallest id; the rest
-are revisit records naming it. Each task writes one archive: a skippable frame (magic 0x184D2A5D) holding the dictionary,
-itself a Zstandard frame, then a frame per record. The dictionary is trained on at most SAMPLE_PAGES payloads chosen by a
+are revisit records naming it. An archive is a skippable frame (magic 0x184D2A5D) holding the dictionary, itself a
+Zstandard frame, then a frame per record; a task closes an archive once it holds ARCHIVE_BYTES, so that none grows with
+the task's share. Payloads stay where they are read: only (id, hash, size) rows are grouped, and revisits found by a
+join on (id, hash) whose small side is broadcast when counted to be small. The dictionary is trained on at most SAMPLE_PAGES payloads chosen by a
 hash of their ids, each cut to SAMPLE_BYTES for training alone.
 
 Reading checks: the leading frame's magic and length, one whole frame per record with its declared content size, the version
 line, required headers, Content-Length against the block, the blank lines at the end, the HTTP Content-Length against
 the payload, and the payload digest of each response.
 
-Defined cases: null html is an empty payload; rows that repeat an id and its payload are responses alike; an empty table gives an
-empty result; other columns are not looked at.
+Defined cases: null html is an empty payload; rows that repeat an id and its payload are responses alike; a null id counts as
+larger than any other, so it revisits one where there is one; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh_path, materialize
+from .common import fresh_path, materialize, sliced, with_ids
 from .raw_files import MARK, read_raw, write_raw
 
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -32,6 +34,8 @@ FRAME_MAGIC = 0xFD2FB528
 SAMPLE_PAGES = 400
 SAMPLE_BYTES = 16_384
 DICTIONARY_BYTES = 32_768
+#: Compressed bytes after which an archive is closed; a single larger record is an archive of its own.
+ARCHIVE_BYTES = 16 << 20
 PAGES_PER_BATCH = 200
 _RECORD = "urn:page:"
 _FEED = 32_768
@@ -131,16 +135,18 @@ def resolve(pages: DataFrame, least: int) -> DataFrame:
     """pages(page_id, url, payload) with refers_to: the smallest id with the same payload, if another's and not too small."""
     named = materialize(pages.select("page_id", F.sha2("payload", 256).alias("sha"), F.length("payload").alias("size")), "payload-names")
     groups = named.filter(F.col("size") >= least).groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", "first")
-    moved = named.join(groups, "sha").filter("page_id <> first").select("page_id", "sha", "first").distinct()
-    return pages.withColumn("sha", F.sha2("payload", 256)).join(moved, ["page_id", "sha"], "left").select("page_id", "url", "payload", F.col("first").alias("refers_to"))
+    moved = materialize(named.join(groups, "sha").filter("page_id <> first OR page_id IS NULL AND first IS NOT NULL").select("page_id", F.col("sha"), "first").distinct(), "revisits")
+    # a null id is joined under a value of its own; the flag keeps it apart from every real id
+    keyed = lambda df: df.withColumn("k", F.coalesce("page_id", F.lit(0))).withColumn("missing", F.col("page_id").isNull())
+    out = with_ids(keyed(pages.withColumn("sha", F.sha2("payload", 256))), keyed(moved).drop("page_id"), ["k", "missing", "sha"], "left")
+    return out.select("page_id", "url", "payload", F.col("first").alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
-    """Write an archive per task from pages(page_id, url, html)."""
+def write_archives(pages: DataFrame, path: str, least: int = 0, limit: int = ARCHIVE_BYTES) -> None:
+    """Write archives of about limit bytes at most from pages(page_id, url, html)."""
     import pyarrow as pa
 
     spark = pages.sparkSession
-    bounded_batches(spark, PAGES_PER_BATCH)
     full = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     chosen = full.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES)  # ids alone go to the driver's sort
     rows = full.join(F.broadcast(chosen), "page_id").select("page_id", F.substring("payload", 1, SAMPLE_BYTES).alias("p")).dropDuplicates(["page_id"]).collect()
@@ -148,15 +154,21 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
     dictionary = train_dictionary([record(r["page_id"], "", bytes(r["p"]), None) for r in sample])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, begun = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary)), False
-        for batch in batches:
-            frames = [writer.compress(record(*row)) for row in zip(*[c.to_pylist() for c in batch.columns])]
-            if frames and not begun:
-                frames.insert(0, dictionary_frame(dictionary))
-                begun = True
-            yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["frame"])
-
-    write_raw(resolve(full, least).mapInArrow(run, "frame binary"), "frame", path)
+        writer, head = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary)), dictionary_frame(dictionary)
+        held, size = [head], len(head)
+        shut = lambda: pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["archive"])
+        for batch in sliced(batches, PAGES_PER_BATCH):
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                frame = writer.compress(record(*row))
+                if len(held) > 1 and size + len(frame) > limit:
+                    yield shut()
+                    held, size = [head], len(head)
+                held.append(frame)
+                size += len(frame)
+        if len(held) > 1:
+            yield shut()
+
+    write_raw(resolve(full, least).mapInArrow(run, "archive binary"), "archive", path, rows_per_file=1)
 
 
 def read_archives(spark, path: str) -> DataFrame:
@@ -175,13 +187,10 @@ def read_archives(spark, path: str) -> DataFrame:
                 types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     return read_raw(spark, path).select("content").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
-def warc_round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
+def warc_round_trip(pages: DataFrame, least: int = 0, limit: int = ARCHIVE_BYTES) -> DataFrame:
     path = fresh_path(pages.sparkSession, "warc")
-    write_archives(pages, path, least)
-    read = materialize(read_archives(pages.sparkSession, path), "warc-read")
-    bounded_batches(pages.sparkSession)
-    return read
+    write_archives(pages, path, least, limit)
+    return materialize(read_archives(pages.sparkSession, path), "warc-read")
