@@ -2,7 +2,7 @@
 
 The CRF has two states. A line's emission score is linear in LINE_FEATURES; transitions are a 2x2 table. Weights are
 fitted by gradient ascent on the conditional likelihood, computed by forward-backward, over at most SAMPLE documents of
-each quality label (the documented bound); a labelled document lends its label to its lines. Decoding is Viterbi over all
+each quality label with texts up to SAMPLE_CHARS characters (the documented bounds); a labelled document lends its label to its lines. Decoding is Viterbi over all
 lines of the whole text. A document is kept when lines marked content hold at least MIN_SHARE of its words.
 
 Base counts, all over the whole text: words are runs without ASCII white space; n_repeat_words counts the words that lie in
@@ -21,9 +21,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import sliced
 
 SAMPLE = 600
+SAMPLE_CHARS = 200_000
 MIN_SHARE = 0.5
 MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
@@ -164,21 +165,35 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | No
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     chosen = [labels.filter(F.col("quality") == q).select("doc_id", F.col("quality").cast("int").alias("quality")).orderBy(*order).limit(sample) for q in (0, 1)]
     both = chosen[0].unionByName(chosen[1])  # at most 2 * sample rows, so a broadcast is bounded
-    rows = docs.select("doc_id", "text").join(F.broadcast(both), "doc_id").collect()
+    fitting = docs.select("doc_id", "text").filter(F.length("text") <= SAMPLE_CHARS)
+    rows = fitting.join(F.broadcast(both), "doc_id").dropDuplicates(["doc_id", "text"]).collect()
     return fit([(r["text"], r["quality"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))])
 
 
+def kept_rows(docs: DataFrame, columns: tuple[str, ...], model: dict | None, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE) -> DataFrame:
+    """The rows of docs that are kept, with these columns (text among them); each row is judged by itself, whatever its id."""
+    import pyarrow as pa
+
+    at = columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            yield batch.filter(pa.array([judge(text, model, min_words, min_share)[6] for text in batch.column(at).to_pylist()], pa.bool_()))
+
+    docs = docs.select(*columns)
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_lines(docs: DataFrame, model: dict | None, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE) -> DataFrame:
     """Counts, verdict and content share of every document."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    bounded_batches(docs.sparkSession)
     schema = to_arrow_schema(StructType.fromDDL(_ROW))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [(i, *judge(text, model, min_words, min_share)) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             columns = list(zip(*rows)) or [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
