@@ -8,12 +8,17 @@ source's token constraint are exponential tilts in the document's size, r = M /
 x = size over the source's mean size. lambda is the root of a convex dual; each Newton step is one distributed aggregate
 over (source, size) counts and is kept inside a shrinking bracket. A source whose target is its cap takes rate M.
 
-Copies: within blocks of about BLOCK documents of a source (by a hash of the id; blocks are bounded, sources are not) sizes
-are taken in falling order and the running shortfall is rounded into whole copies, 0 to M each, so that an error is at
-most about half of the block's smallest document. No randomness: reruns agree.
+Copies: within blocks of about BLOCK documents of a source sizes are taken in falling order and the running shortfall is
+rounded into whole copies, 0 to M each, so that an error is at most about half of the block's smallest document. A block
+is a hash of id, size and a number among the rows that share both, so neither a source nor a row repeated any number of
+times gathers in one block. No randomness: reruns agree.
+
+Ranks of sources come from a range partitioning, and the level of the uncapped targets from aggregates over the sources,
+repeated until no further source is capped, so no step puts all sources into one task.
 
 Defined cases: null text has size 0 and takes 0; sources of size 0 have target 0; null source is a source of its own;
-repeated rows are documents of their own; an empty table gives an empty result; other columns are not looked at.
+repeated rows are documents of their own; a null id is a document like any other; an empty table gives an empty result;
+other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -23,12 +28,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, ranked
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
 BLOCK = 1_000
-STEPS = 40
+#: Newton steps, and rounds of capping, after which an unfinished search is an error.
+STEPS = 400
 #: A table of sources is broadcast only up to this many rows.
 BROADCAST_SOURCES = 20_000
 
@@ -39,18 +45,24 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(trimmed, " ", -1), lambda w: w != "")).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = MAX_COPIES) -> DataFrame:
-    """sk, source_size, docs, target for each source of sizes(sk, source, source_size, docs)."""
-    every, before = Window.partitionBy(), Window.orderBy("ratio", "rank").rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = MAX_COPIES, steps: int = STEPS) -> DataFrame:
+    """sk, source_size, docs, target, limit for each source of sizes(sk, source, source_size, docs)."""
     table = F.array(*[F.lit(float(w)) for w in weights])
-    df = sizes.withColumn("rank", rank).withColumn("w", F.element_at(table, (F.col("rank") % len(weights) + 1).cast("int")))
-    df = df.withColumn("limit", F.col("source_size") * float(cap)).withColumn("ratio", F.col("limit") / F.col("w"))
-    df = df.withColumn("left", F.sum("source_size").over(every) - F.coalesce(F.sum("limit").over(before), F.lit(0.0)))
-    df = df.withColumn("level", F.col("left") / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
-    df = df.withColumn("capped", F.col("ratio") <= F.col("level"))
-    level = F.min(F.when(~F.col("capped"), F.struct("ratio", "rank", "level"))).over(every)["level"]
-    return df.withColumn("target", F.when(F.col("capped"), F.col("limit")).otherwise(F.col("w") * level)).select("sk", "source_size", "docs", "target", "limit")
+    df = ranked(sizes, [F.col("source").isNull().asc(), F.col("source").asc_nulls_last()], "source-ranks")
+    df = df.withColumn("w", F.element_at(table, (F.col("rank") % len(weights) + 1).cast("int"))).withColumn("limit", F.col("source_size") * float(cap))
+    df = df.withColumn("ratio", F.col("limit") / F.col("w"))
+    level = -1.0
+    for _ in range(steps):  # the level rises until no source under it is left uncapped
+        capped = F.col("ratio") <= level
+        r = df.agg(F.sum("source_size").alias("all"), F.sum(F.when(capped, F.col("limit"))).alias("taken"), F.sum(F.when(~capped, F.col("w"))).alias("w")).first()
+        new = ((r["all"] or 0) - (r["taken"] or 0.0)) / r["w"] if r["w"] else level
+        if new <= level * (1 + 1e-12):
+            break
+        level = new
+    else:
+        raise RuntimeError(f"targets still change after {steps} rounds")
+    target = F.when(F.col("ratio") <= level, F.col("limit")).otherwise(F.col("w") * level)
+    return df.select("sk", "source_size", "docs", target.alias("target"), "limit")
 
 
 def _near(df: DataFrame, table: DataFrame, small: bool) -> DataFrame:
@@ -61,7 +73,8 @@ def tilt(counts: DataFrame, targets: DataFrame, cap: int, small: bool, steps: in
     """sk, lam (null where the target is the cap), found by Newton iterations on the dual."""
     m = float(cap)
     goal = targets.filter("source_size > 0 AND target < limit * (1 - 1e-9)").select("sk", "target", (F.col("source_size") / F.col("docs")).alias("mean"))
-    state = goal.select("*", *[F.lit(v).alias(c) for c, v in (("lam", 0.0), ("low", -1e4), ("high", 1e4))], F.lit(False).alias("done"))
+    unknown = F.lit(None).cast("double")
+    state = goal.select("*", F.lit(0.0).alias("lam"), unknown.alias("low"), unknown.alias("high"), F.lit(False).alias("done"))
     for _ in range(steps):
         x = F.col("size") / F.col("mean")
         rate = m / (1 + (m - 1) * F.exp(-F.col("lam") * x))
@@ -70,34 +83,39 @@ def tilt(counts: DataFrame, targets: DataFrame, cap: int, small: bool, steps: in
         )
         now = state.join(sums, "sk", "left").withColumn("gap", F.col("target") - F.col("got"))
         now = now.withColumn("low", F.when(F.col("gap") > 0, F.col("lam")).otherwise(F.col("low"))).withColumn("high", F.when(F.col("gap") < 0, F.col("lam")).otherwise(F.col("high")))
-        now = now.withColumn("newton", F.col("lam") + F.try_divide(F.col("gap"), F.col("slope"))).withColumn("middle", (F.col("low") + F.col("high")) / 2)
-        inside = F.col("newton").isNotNull() & (F.col("newton") > F.col("low")) & (F.col("newton") < F.col("high"))
-        near = F.abs(F.col("gap")) <= 1e-7 * F.col("target")
+        now = now.withColumn("newton", F.col("lam") + F.try_divide(F.col("gap"), F.col("slope")))
+        bounded = F.coalesce(F.col("newton") > F.col("low"), F.lit(True)) & F.coalesce(F.col("newton") < F.col("high"), F.lit(True))
+        inside = F.coalesce(bounded & (F.abs(F.col("newton")) <= 16 * (1 + F.abs(F.col("lam")))), F.lit(False))
+        # without a bound on the side to go to, the step grows fourfold; between two bounds it halves the bracket
+        middle, far = (F.col("low") + F.col("high")) / 2, F.when(F.col("gap") > 0, 1.0).otherwise(-1.0) * (4 * F.abs(F.col("lam")) + 1)
+        near = (F.abs(F.col("gap")) <= 1e-7 * F.col("target")) | F.coalesce(F.col("high") - F.col("low") <= 1e-12 * (1 + F.abs(F.col("lam"))), F.lit(False))
         stop = F.col("done") | near | F.col("got").isNull()
-        state = materialize(now.select("sk", "target", "mean", F.when(stop, F.col("lam")).when(inside, F.col("newton")).otherwise(F.col("middle")).alias("lam"), "low", "high", stop.alias("done")).coalesce(1), "tilt")
+        state = materialize(now.select("sk", "target", "mean", F.when(stop, F.col("lam")).when(inside & F.col("newton").isNotNull(), F.col("newton")).otherwise(F.coalesce(middle, far)).alias("lam"), "low", "high", stop.alias("done")).coalesce(1), "tilt")
         if not state.filter("NOT done").limit(1).count():
-            break
-    return state.select("sk", "mean", "lam")
+            return state.select("sk", "mean", "lam")
+    raise RuntimeError(f"the dual is not solved after {steps} steps")
 
 
-def entropy_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = MAX_COPIES, block: int = BLOCK) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies; a row per input row."""
-    spark, m = docs.sparkSession, float(cap)
-    key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
-    sized = materialize(docs.select("doc_id", "source", key.alias("sk"), word_count(F.col("text")).alias("size")), "sizes")
+def entropy_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = MAX_COPIES, block: int = BLOCK, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """key, size, source_size, target, taken, copies; a row per input row."""
+    m = float(cap)
+    source = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
+    sized = materialize(docs.select(*key, "source", source.alias("sk"), word_count(F.col("text")).alias("size")), "sizes")
     counts = materialize(sized.groupBy("sk", "size").agg(F.count(F.lit(1)).alias("n")), "size-counts")
     stats = sized.groupBy("sk", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
     targets = materialize(source_targets(stats, weights, cap), "targets")
     small = targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     lam = tilt(counts, targets, cap, small)
     plan = targets.join(lam, "sk", "left")
-    rated = _near(sized.select("doc_id", "sk", "size"), plan, small)
+    equal = sized.groupBy(*key, "sk", "size").agg(F.count(F.lit(1)).alias("n"))
+    sized = equal.select(*key, "sk", "size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("number"))
+    rated = _near(sized, plan, small)
     x = F.col("size") / F.col("mean")
     rate = F.when(F.col("lam").isNull(), F.lit(m)).otherwise(m / (1 + (m - 1) * F.exp(-F.col("lam") * x)))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("docs") / block))
-    rated = rated.select("doc_id", "sk", "size", "source_size", "target", rate.alias("rate"), F.pmod(F.xxhash64("doc_id", "size"), blocks).alias("block"))
-    # rated in blocks: falling size, then id; owed carries the tokens still to be placed
-    row = F.struct((-F.col("size")).alias("o"), "doc_id", "size", "source_size", "target", "rate")
+    rated = rated.select(*key, "sk", "size", "source_size", "target", rate.alias("rate"), F.pmod(F.xxhash64(*key, "size", "number"), blocks).alias("block"))
+    # rated in blocks: falling size, then key; owed carries the tokens still to be placed
+    row = F.struct((-F.col("size")).alias("o"), *key, "size", "source_size", "target", "rate")
     group = rated.groupBy("sk", "block").agg(F.sort_array(F.collect_list(row)).alias("rows"))
     zero = F.expr("named_struct('owed', cast(0 as double), 'copies', cast(array() as array<int>))")
 
@@ -108,4 +126,17 @@ def entropy_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int =
 
     placed = group.select(F.explode(F.arrays_zip("rows", F.aggregate("rows", zero, place, lambda s: s["copies"]).alias("copies"))).alias("z"))
     r, copies = F.col("z")["rows"], F.col("z")["copies"]
-    return placed.select(r["doc_id"].alias("doc_id"), r["size"].alias("size"), r["source_size"].alias("source_size"), r["target"].alias("target"), (copies * r["size"]).cast("long").alias("taken"), copies.alias("copies"))
+    return placed.select(*[r[k].alias(k) for k in key], r["size"].alias("size"), r["source_size"].alias("source_size"), r["target"].alias("target"), (copies * r["size"]).cast("long").alias("taken"), copies.alias("copies"))
+
+
+def mixed_rows(docs: DataFrame, columns: tuple[str, ...], **options) -> DataFrame:
+    """Each row of docs as many times as the mix takes it, with these columns (text and source among them).
+
+    Rows are told apart by two hashes over all columns (128 bits), never by id; copies of rows equal in all columns are
+    summed, so that one of them stands for all.
+    """
+    docs = docs.select(*columns, F.xxhash64(*columns).alias("r1"), F.xxhash64(F.lit(1), *columns).alias("r2"))
+    taken = entropy_mix(docs, key=("r1", "r2"), **options).filter("copies > 0").groupBy("r1", "r2").agg(F.sum("copies").alias("copies"))
+    taken = materialize(taken, "copies")
+    one = docs.dropDuplicates(["r1", "r2"]).join(taken, ["r1", "r2"])
+    return one.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*columns)
