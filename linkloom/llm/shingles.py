@@ -1,7 +1,8 @@
 """Vectorised hashing of words and word shingles, whole texts at a time.
 
-A word is a run of bytes without ASCII white space in the UTF-8 text after A-Z are lower-cased. Its hash is a polynomial
-over a fixed random byte table modulo 2**64, finished by a 64-bit mixer.
+A word is a run of bytes without ASCII white space in the UTF-8 text after A-Z are lower-cased. Its hash is a sum over a
+fixed random table of (place, byte), so that no family of words collides by construction; words over PLACES bytes are
+hashed by xxh3. A 64-bit mixer finishes both.
 """
 
 from __future__ import annotations
@@ -9,10 +10,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+PLACES = 64
+_TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 64, PLACES * 256, dtype=np.uint64)
+_LENGTH = np.uint64(0xD1B54A32D192ED03)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _CHUNK = 1 << 19
@@ -45,9 +49,16 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     space = np.concatenate(([True], _SPACE[raw], [True]))
     turn = np.flatnonzero(space[1:] != space[:-1])
     starts, ends = turn[::2], turn[1::2]
-    power, inverse = _power_tables(len(raw) + 1)
-    total = np.concatenate((np.zeros(1, np.uint64), np.add.accumulate(_TABLE[raw] * power[: len(raw)])))
-    return mix((total[ends] - total[starts]) * inverse[starts]), starts, ends
+    size = ends - starts
+    if not len(size):
+        return np.empty(0, np.uint64), starts, ends
+    at = np.flatnonzero(~space[1:-1])
+    first = np.cumsum(size) - size
+    place = np.arange(len(at)) - np.repeat(first, size)
+    total = np.add.reduceat(_TABLE[(place & (PLACES - 1)) << 8 | raw[at]], first)
+    for i in np.flatnonzero(size > PLACES):
+        total[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
+    return mix(total + size.astype(np.uint64) * _LENGTH), starts, ends
 
 
 def chunks(texts: list[str | None]) -> Iterator[tuple[list[int], bytes, np.ndarray]]:
