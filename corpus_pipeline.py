@@ -2,6 +2,12 @@
 
 quality rules, exact dedup, near dedup, mixing and packing. Stages return the columns of documents, but for the last, which
 returns packed pieces. Mixing repeats a document's row once per copy; packing then treats each row as a document.
+
+A stage decides on whole rows and never joins a verdict back by doc_id. So in every stage rows that share an id but not a
+text are documents of their own, and a null id is an id like any other. Null and empty texts fail the quality rules; later
+stages alone treat them as equal (exact dedup), without words (near dedup), of size 0 and so not taken (mixing), and as the
+end id alone (packing). Rows equal in all columns are judged alike (quality), one text (exact and near dedup) or documents of
+their own (mixing, packing). Empty tables pass as empty tables; columns other than those of documents are dropped.
 """
 
 from __future__ import annotations
@@ -12,37 +18,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm import circulant_minhash, cutting_stock, entropy_mix, extendible_dedup, quality_crf
-from linkloom.llm.common import materialize, with_ids
+from linkloom.llm.common import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the line CRF keep."""
+    """Rows that the base rules and the line CRF keep."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    verdict = quality_crf.quality_lines(docs, quality_crf.train(docs, labels))
-    dropped = materialize(verdict.filter("NOT kept").select("doc_id"), "rejected")
-    return with_ids(docs.select(*COLUMNS), dropped.distinct(), "doc_id", "left_anti")
+    return quality_crf.kept_rows(docs, COLUMNS, quality_crf.train(docs, labels))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of largest id among equal texts."""
-    dropped = materialize(extendible_dedup.exact_dedup(docs).filter("NOT kept").select("doc_id"), "copies")
-    return with_ids(docs.select(*COLUMNS), dropped.distinct(), "doc_id", "left_anti")
+    """One row of each text, that of the largest id."""
+    return extendible_dedup.survivors(docs, COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component, that of the smallest id."""
-    dropped = materialize(circulant_minhash.near_dedup(docs).filter("NOT kept").select("doc_id"), "near-copies")
-    return with_ids(docs.select(*COLUMNS), dropped.distinct(), "doc_id", "left_anti")
+    """One row of each near-duplicate component, that of the smallest id; rows without words stay."""
+    return circulant_minhash.survivors(docs, COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it; documents of no copies go."""
-    mixed = entropy_mix.entropy_mix(docs).select("doc_id", "copies")
-    copies = materialize(mixed.groupBy("doc_id").agg(F.max("copies").alias("copies")), "copies")
-    taken = docs.select(*COLUMNS).join(copies.filter("copies > 0"), "doc_id")
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
+    """Each row as many times as the mix takes it; rows of no copies go."""
+    return entropy_mix.mixed_rows(docs, COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +56,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing sources to target weights", mix_sources),
     ("packing", packing),
 ]
-#: Line labelling, MinHash and tokenization have no SQL form; run() is tested against its stages' brute-force versions.
+#: Line labelling, MinHash and tokenization have no SQL form; tests/llm/test_pipeline.py holds run() against brute-force stages.
 ORACLE_SQL = None
 
 
