@@ -38,7 +38,7 @@ END_ID = 1
 #: Smallest gap that is filled by a cut.
 MIN_CUT = 8
 #: Sequences whose gaps one task adds up.
-SEQUENCE_LANE = 1 << 16
+SEQUENCE_LANE = 1 << 12
 
 
 def price(values: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:
@@ -177,10 +177,11 @@ def _cut(ribbon: DataFrame, used: DataFrame, base: int, capacity: int, least: in
     """The pieces of ribbon cut at the gaps of used(sequence_id, used); base is the first sequence of the ribbon's rest."""
     spark = ribbon.sparkSession
     order = Window.partitionBy("lane").orderBy("kind", "at").rowsBetween(Window.unboundedPreceding, -1)
-    ribbon = ribbon.withColumn("inner", F.coalesce(F.sum("length").over(order), F.lit(0)))
+    ribbon = materialize(ribbon.withColumn("inner", F.coalesce(F.sum("length").over(order), F.lit(0))), "ribbon-lanes")
     lanes = starts(ribbon.groupBy("lane").agg(F.sum("length").alias("n")), "lane", "n")
-    ribbon = materialize(with_ids(ribbon, lanes, "lane", "inner").withColumn("pos", F.col("before") + F.col("inner")).select("doc_id", "start", "length", "doc_tokens", "ids", "pos"), "ribbon")
+    ribbon = materialize(ribbon.join(lanes, "lane").withColumn("pos", F.col("before") + F.col("inner")).select("doc_id", "start", "length", "doc_tokens", "ids", "pos"), "ribbon")
     gaps = used.withColumn("gap", capacity - F.col("used")).filter(F.col("gap") >= least).withColumn("lane", F.floor(F.col("sequence_id") / SEQUENCE_LANE))
+    gaps = materialize(gaps, "open-sequences")
     order = Window.partitionBy("lane").orderBy("sequence_id").rowsBetween(Window.unboundedPreceding, -1)
     lanes = starts(gaps.groupBy("lane").agg(F.sum("gap").alias("n")), "lane", "n")
     gaps = gaps.withColumn("inner", F.coalesce(F.sum("gap").over(order), F.lit(0))).join(lanes, "lane").withColumn("gpos", F.col("before") + F.col("inner"))
@@ -216,17 +217,18 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN, end_id:
         base += 0 if apart else n
     # rank r of a class falls in the last span that begins at or before it
     ranges = spark.createDataFrame([(c, sorted(v)) for c, v in spans.items()], "kind long, spans array<struct<s:long,k:long,b:long>>")
-    first = starts(cut.groupBy("kind", "lane").agg(F.count(F.lit(1)).alias("n")), "lane", "n", ("kind",))
+    first = materialize(starts(cut.groupBy("kind", "lane").agg(F.count(F.lit(1)).alias("n")), "lane", "n", ("kind",)), "first-ranks")
     ranked = with_ids(cut, first, ["kind", "lane"], "inner").withColumn("rank", F.col("before") + F.col("at")).join(F.broadcast(ranges), "kind")
     ranked = ranked.withColumn("span", F.element_at(F.filter("spans", lambda x: x["s"] <= F.col("rank")), -1))
     ranked = ranked.withColumn("sequence_id", (F.col("span.b") + F.floor((F.col("rank") - F.col("span.s")) / F.col("span.k"))).cast("long"))
     shown = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id"]
-    whole = ranked.filter("kind = -1").select(*shown, F.lit(0).cast("long").alias("offset"))
     before = Window.partitionBy("sequence_id").orderBy(F.col("length").desc(), "doc_id", "start", "kind", "rank").rowsBetween(Window.unboundedPreceding, -1)
-    stay = ranked.filter("kind >= 0 AND span.b >= 0")
-    placed = whole.union(stay.select(*shown, F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset")))
+    stay = ranked.filter("kind >= 0 AND span.b >= 0").withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
+    stay = stay.select(*shown, "offset")
+    whole = ranked.filter("kind = -1").select(*shown, F.lit(0).cast("long").alias("offset"))
     if not apart_any:
-        return placed
+        return whole.union(stay)
+    stay = materialize(stay, "placed")
     ribbon = ranked.filter("kind >= 0 AND span.b < 0").select("doc_id", "start", "length", "doc_tokens", "ids", "kind", "lane", "at")
     used = stay.groupBy("sequence_id").agg(F.sum("length").alias("used"))
-    return placed.union(_cut(ribbon, used, base, capacity, least))
+    return whole.union(stay).union(_cut(ribbon, used, base, capacity, least))
