@@ -77,8 +77,8 @@ def chunks(texts: list[str | None]) -> Iterator[tuple[list[int], bytes, np.ndarr
         yield members, b"\n".join(parts), np.array(starts)
 
 
-def shingle_arrays(texts: list[str | None], width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each text: index, hashes of its shingles in order (its whole sequence if shorter; none without words), and of its words."""
+def chunk_shingles(texts: list[str | None], width: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
+    """For runs of texts: their indices, the bounds of each among the run's words, the hash of every width words, and of each word."""
     weights = [np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64)) for k in range(width)]
     for members, data, starts in chunks(texts):
         words, first, _ = word_hashes(data)
@@ -87,7 +87,13 @@ def shingle_arrays(texts: list[str | None], width: int) -> Iterator[tuple[int, n
         wide = np.zeros(n, np.uint64)
         for k in range(width):
             wide += words[k : k + n] * weights[k]
-        wide = mix(wide)
+        yield members, bounds, mix(wide), words
+
+
+def shingle_arrays(texts: list[str | None], width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each text: index, hashes of its shingles in order (its whole sequence if shorter; none without words), and of its words."""
+    weights = [np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64)) for k in range(width)]
+    for members, bounds, wide, words in chunk_shingles(texts, width):
         for j, i in enumerate(members):
             a, b = bounds[j], bounds[j + 1]
             if b - a >= width:
