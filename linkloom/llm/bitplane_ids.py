@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize, sliced, starts
+from .common import fresh_path, map_batches, materialize, sliced, starts
 from .raw_files import MARK, read_raw, write_raw
 from .tokens import TEXTS, encoder, vocabulary
 
@@ -145,7 +145,7 @@ def write_ids(docs: DataFrame, path: str, shards: int | None = None, bits: bool
         for blob in shard_blobs(rows(), block, bits):
             yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], ["blob"])
 
-    write_raw(dealt.mapInArrow(run, "blob binary"), "blob", path)
+    write_raw(map_batches(dealt, run, "blob binary"), "blob", path)
 
 
 def read_ids(spark, path: str) -> DataFrame:
@@ -161,7 +161,7 @@ def read_ids(spark, path: str) -> DataFrame:
                 columns = list(zip(*rows)) or [[], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array([path.as_py()] * n, pa.string()), pa.array(range(n), pa.int64()), *[pa.array(c, pa.int64()) for c in columns]], ["path", "position", "doc_id", "n_tokens", "ids_crc32"])
 
-    return read_raw(spark, path).mapInArrow(run, "path string, position long, doc_id long, n_tokens long, ids_crc32 long")
+    return map_batches(read_raw(spark, path), run, "path string, position long, doc_id long, n_tokens long, ids_crc32 long")
 
 
 def ids_round_trip(docs: DataFrame, **options) -> DataFrame:

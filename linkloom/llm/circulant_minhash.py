@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_small, materialize, sliced, with_ids
+from .common import is_small, map_batches, materialize, sliced, with_ids
 from .components import components
 from .shingles import mix, shingle_arrays, shingle_set
 
@@ -105,7 +105,7 @@ def _signed(docs: DataFrame, width: int, bands: int, rows: int, keys: tuple[str,
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sizes), pa.array(names, pa.binary()), lists], [*batch.schema.names[1:], "n_shingles", "set_key", "bands"])
 
     full = docs.select("text", F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), *keys)
-    return full.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "th", *keys)) + ", n_shingles long, set_key binary, bands array<long>")
+    return map_batches(full, run, ", ".join(f"{c} long" for c in ("doc_id", "th", *keys)) + ", n_shingles long, set_key binary, bands array<long>")
 
 
 def set_name(found: np.ndarray) -> bytes:
@@ -121,7 +121,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             found = [shingle_set(h) for _, h, _ in shingle_arrays(batch.column(0).to_pylist(), width)]
             yield pa.RecordBatch.from_arrays([pa.array([set_name(f) for f in found], pa.binary()), pa.array([f.tobytes() for f in found], pa.binary())], ["set_key", "members"])
 
-    return docs.select("text").mapInArrow(run, "set_key binary, members binary")
+    return map_batches(docs.select("text"), run, "set_key binary, members binary")
 
 
 def _own(sets: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def _own(sets: DataFrame) -> DataFrame:
             owner = np.repeat(batch.column(0).to_numpy(), [len(f) for f in found])
             yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(np.concatenate(found) if found else owner, pa.int64())], ["v", "h"])
 
-    single = sets.select("v", "members").mapInArrow(run, "v long, h long").groupBy("h").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("n")).filter("n = 1")
+    single = map_batches(sets.select("v", "members"), run, "v long, h long").groupBy("h").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("n")).filter("n = 1")
     return single.groupBy("v").agg(F.count(F.lit(1)).alias("own"))
 
 
@@ -154,7 +154,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left, right = sets.select(F.col("v").alias("a"), F.col("members").alias("p")), sets.select(F.col("v").alias("b"), F.col("members").alias("q"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
+    return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q"), run, "a long, b long")
 
 
 def _sketches(sets: DataFrame, bits: int) -> DataFrame:
@@ -178,7 +178,7 @@ def _sketches(sets: DataFrame, bits: int) -> DataFrame:
                 a = b
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(words[:, k]) for k in range(words.shape[1])]], ["v", *names])
 
-    return sets.select("v", "members").mapInArrow(run, "v long, " + ", ".join(f"{n} long" for n in names))
+    return map_batches(sets.select("v", "members"), run, "v long, " + ", ".join(f"{n} long" for n in names))
 
 
 def most_different(threshold: int, bits: int) -> int:

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Most rows of small fixed-width keys that may be broadcast; a larger side is shuffled instead.
 BROADCAST_KEYS = 1_000_000
-#: Rows of an Arrow batch that become Python objects at once. Spark itself bounds a batch's bytes (maxBytesPerBatch).
-BATCH_ROWS = 1_000
+#: Rows of an Arrow batch that become Python objects at once, and bytes that a batch may hold on its way to Python.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
 #: Lanes whose totals one task adds up; the totals of such blocks are added up by one more.
 LANE_BLOCK = 1_000
 
@@ -49,6 +50,12 @@ def discard(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def map_batches(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """mapInArrow with batches of at most BATCH_BYTES (or one row); the session keeps that one value for all operators."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def sliced(batches: Iterator, rows: int = BATCH_ROWS) -> Iterator:
     """Arrow batches of at most rows rows."""
     for batch in batches:

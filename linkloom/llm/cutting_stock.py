@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, sliced, starts, with_ids
+from .common import map_batches, materialize, sliced, starts, with_ids
 from .tokens import encoder, vocabulary
 
 CAPACITY = 2048
@@ -165,7 +165,7 @@ def pieces(docs: DataFrame, capacity: int, grain: int, end_id: int, path: str) -
             yield pa.RecordBatch.from_arrays([*columns, pa.array(ids_, pa.binary())], [*names, "ids"])
 
     schema = ", ".join(f"{n} long" for n in names) + ", ids binary"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)
 
 
 def _cells(df: DataFrame, at: str, size: str, capacity: int) -> DataFrame:

@@ -51,11 +51,11 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, cap: in
     df = ranked(sizes, [F.col("source").isNull().asc(), F.col("source").asc_nulls_last()], "source-ranks")
     df = df.withColumn("w", F.element_at(table, (F.col("rank") % len(weights) + 1).cast("int"))).withColumn("limit", F.col("source_size") * float(cap))
     df = df.withColumn("ratio", F.col("limit") / F.col("w"))
-    level = -1.0
+    level = 0.0
     for _ in range(steps):  # the level rises until no source under it is left uncapped
         capped = F.col("ratio") <= level
         r = df.agg(F.sum("source_size").alias("all"), F.sum(F.when(capped, F.col("limit"))).alias("taken"), F.sum(F.when(~capped, F.col("w"))).alias("w")).first()
-        new = ((r["all"] or 0) - (r["taken"] or 0.0)) / r["w"] if r["w"] else level
+        new = (r["all"] - (r["taken"] or 0.0)) / r["w"] if r["w"] else level
         if new <= level * (1 + 1e-12):
             break
         level = new

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import map_batches, sliced
 
 SAMPLE = 300
 SAMPLE_CHARS = 200_000
@@ -294,7 +294,7 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
                     langs[i] = model["langs"][k]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, **options) -> DataFrame:

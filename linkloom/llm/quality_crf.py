@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import map_batches, sliced
 
 SAMPLE = 600
 SAMPLE_CHARS = 200_000
@@ -181,7 +181,7 @@ def kept_rows(docs: DataFrame, columns: tuple[str, ...], model: dict | None, min
             yield batch.filter(pa.array([judge(text, model, min_words, min_share)[6] for text in batch.column(at).to_pylist()], pa.bool_()))
 
     docs = docs.select(*columns)
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def quality_lines(docs: DataFrame, model: dict | None, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE) -> DataFrame:
@@ -198,4 +198,4 @@ def quality_lines(docs: DataFrame, model: dict | None, min_words: int = MIN_WORD
             columns = list(zip(*rows)) or [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _ROW)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, _ROW)

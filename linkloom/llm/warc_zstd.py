@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize, sliced, with_ids
+from .common import fresh_path, map_batches, materialize, sliced, with_ids
 from .raw_files import MARK, read_raw, write_raw
 
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -168,7 +168,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, limit: int = ARC
         if len(held) > 1:
             yield shut()
 
-    write_raw(resolve(full, least).mapInArrow(run, "archive binary"), "archive", path, rows_per_file=1)
+    write_raw(map_batches(resolve(full, least), run, "archive binary"), "archive", path, rows_per_file=1)
 
 
 def read_archives(spark, path: str) -> DataFrame:
@@ -187,7 +187,7 @@ def read_archives(spark, path: str) -> DataFrame:
                 types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    return read_raw(spark, path).select("content").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
+    return map_batches(read_raw(spark, path).select("content"), run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
 def warc_round_trip(pages: DataFrame, least: int = 0, limit: int = ARCHIVE_BYTES) -> DataFrame:

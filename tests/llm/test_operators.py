@@ -252,7 +252,6 @@ def library(texts, end):
     from linkloom.llm.tokens import vocabulary
 
     t = Tokenizer.from_file(vocabulary())
-    t.encode_special_tokens = True
     return [[*t.encode(x or "", add_special_tokens=False).ids, end] for x in texts]
 
 
@@ -283,7 +282,7 @@ def test_packing(docs, empty):
             at += length
         assert at <= 2048
     total = sum(spans.values())
-    assert len(filled) * 2048 - total <= 0.02 * total + 2048
+    assert len(filled) * 2048 - total <= 0.005 * total + 2048
     assert sorted(filled) == list(range(len(filled)))
     assert pack(empty).count() == 0
 
@@ -320,21 +319,59 @@ def test_language(docs, empty):
     assert identify(empty).count() == 0
 
 
+def segmentations(word, table, prob, lang):
+    """The sum over all segmentations, by the definition."""
+    best = [1.0] + [0.0] * len(word)
+    for end in range(1, len(word) + 1):
+        for start in range(end):
+            found = table.get(word[start:end], 0 if end - start == 1 else None)
+            if found is not None:
+                best[end] += best[start] * prob[found, lang]
+    return best[-1]
+
+
 def test_forward_sums_all_segmentations():
     import numpy as np
 
-    from linkloom.llm.langid_unigram import forward, lattice
+    from linkloom.llm import langid_unigram as l
+
+    table = {p: i + 1 for i, p in enumerate(["a", "b", "ab", "ba", "aba", "abababababab", "\u2581a", "\u2581"])}
+    prob = np.random.default_rng(1).uniform(0, 1, (len(table) + 1, 2))
+    names = ["a", "ab", "abab", "babaab", "aXb", "ab" * 10, "b" * 40]
+    first, lengths, *arcs = l.Table(table).arcs(["\u2581" + n for n in names])
+    got = l.forward(first, lengths, *arcs, prob)[first + lengths]
+    want = [[segmentations("\u2581" + w, table, prob, k) for k in range(2)] for w in names]
+    assert np.allclose(got, want)
+    for n in names:
+        assert np.allclose(np.exp(l.long_word("\u2581" + n, table, 12, prob)), [segmentations("\u2581" + n, table, prob, k) for k in range(2)])
+
+
+def test_long_words_and_every_piece_count():
+    """Words over LONG letters, and pieces of any length, are summed whole; a worker's cache may turn over."""
+    import numpy as np
+
+    from linkloom.llm import langid_unigram as l
+
+    table = l.pieces()
+    assert max(map(len, table)) > 12
+    rng = np.random.default_rng(2)
+    prob = rng.uniform(1e-6, 1e-3, (max(table.values()) + 1, 3))
+    longest = max(table, key=len).replace("\u2581", "")
+    words = [longest, "straße", "日本語", longest * 5, "x" * 200, "internationalization"]
+    scorer = l.Scorer(prob, table)
+    scorer.limit = 4
+    got = scorer.score([words, [], [longest]])
+    want = sum(np.log([segmentations("\u2581" + w, table, prob, k) for k in range(3)]) for w in words)
+    assert np.allclose(got[0], want) and not got[1].any()
+    assert np.isfinite(scorer.score([["abc" * 50_000]])).all()
 
-    table = {p: i + 1 for i, p in enumerate(["a", "b", "ab", "ba", "aba"])}
-    prob = np.append(np.random.default_rng(1).uniform(0, 1, (6, 2)), np.zeros((1, 2)), 0)
 
-    def total(word, lang):
-        return 1.0 if not word else sum(prob[table.get(word[:k], 0), lang] * total(word[k:], lang) for k in range(1, min(3, len(word)) + 1) if word[:k] in table or k == 1)
+def test_more_than_500_languages(spark):
+    from linkloom.llm.langid_unigram import train
 
-    names = ["a", "ab", "abab", "babaab", "aXb"]
-    lengths, ids = lattice(names, table)
-    got = forward(lengths, ids, prob)[np.arange(len(names)), lengths]
-    assert np.allclose(got, [[total(w, k) for k in range(2)] for w in names])
+    rows = [(4 * i + k, f"wort{i} wort{i}", f"l{i:04d}") for i in range(600) for k in range(2)]
+    model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=2)
+    assert len(model["langs"]) == 600
 
 
 def test_compact_windows(spark, docs, empty):
@@ -363,13 +400,20 @@ def test_encoder_turns_generations_over(monkeypatch):
     monkeypatch.setattr(t, "CHUNK", 60)
     rng = random.Random(3)
     pool = ["der", "été,", "naïve", "It's", "3.14", "ok!!", "Straße", "日本語", "<|endoftext|>", "end.", "x;", "\U0001f600", "été", "end"]
-    texts = [None, "", " ", "\n", "a\tb", "a  b", "a \nb", "l" * 500]
+    texts = [None, "", " ", "\n", "a\tb", "a  b", "a \nb", "l" * 500, "a <|endoftext|> b", "a<|endoftext|>b c", "<|endoftext|>"]
     texts += [rng.choice([" ", "\n"]).join(rng.choice(pool) + rng.choice(["", "", str(k)]) for k in range(rng.randint(1, 30))) for _ in range(200)]
     encoder = t.Encoder(t.vocabulary())
     assert list(encoder.encode_batch(texts)) == list(encoder.encode_batch(texts)) == [e.tobytes() for e in ids_of(encoder.library, texts)]
     assert list(encoder.encode_batch([])) == []
 
 
+def test_special_strings_become_their_ids():
+    from linkloom.llm import tokens as t
+
+    got = [list(memoryview(x).cast("I")) for x in t.Encoder(t.vocabulary()).encode_batch(["a <|endoftext|> b", "a < |endoftext|> b"])]
+    assert got[0] == [64, 220, 50256, 275] and got == [e[:-1] for e in library(["a <|endoftext|> b", "a < |endoftext|> b"], 0)]
+
+
 def ids_of(tokenizer, texts):
     import numpy as np
 
@@ -452,3 +496,254 @@ def test_articles_in_forms_and_hinted_wrappers():
     for closed in ("div class='comments'", "ol class='comment-list'", "div id='comments' class='comments-area'", "nav", "footer", "aside", "div class='sidebar'", "div hidden"):
         assert text(f"<article>Own text.</article><{closed}><form><article>x</article></form></{closed.split()[0]}>") == "Own text.", closed
     assert text("<article>Own text.</article><article class='comment'>x</article>") == "Own text."
+
+
+ROWS = "doc_id long, text string, lang string, source string, n_chars long, rank int"
+CLASH = [(1, "aa"), (2, "aa"), (1, "bb"), (5, "cc"), (5, "cc"), (None, "dd"), (None, "dd"), (3, "dd"), (None, "ee"), (7, None), (8, ""), (9, "ff " * 40_000)]
+
+
+def clash(spark):
+    return spark.createDataFrame([(i, t, "en", "s", 1, 2) for i, t in CLASH], ROWS).repartition(3)
+
+
+def test_exact_dedup_heavy_groups_and_odd_ids(spark):
+    """Probes of heavy groups and others, null ids, one id with two texts: results as by the definition."""
+    from linkloom.llm import extendible_dedup as x
+
+    docs = clash(spark).union(spark.createDataFrame([(100 + i, "hot text", "en", "s", 1, 2) for i in range(300)], ROWS))
+    given = [(r["doc_id"], r["text"] or "") for r in rows(docs)]
+    size, keep = Counter(t for _, t in given), {}
+    for i, t in given:
+        keep[t] = max((j for j in (keep.get(t), i) if j is not None), default=None)
+    want = sorted((str(i), str(keep[t]), size[t], i == keep[t], hashlib.sha256(t.encode()).hexdigest()) for i, t in given)
+    for least in (1, 1000):
+        got = rows(x.exact_dedup(docs, capacity=1, max_depth=3, heavy_share=10, least=least))
+        assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["kept"], r["text_sha256"]) for r in got) == want
+    got = rows(x.survivors(docs, ("text", "doc_id", "lang", "source", "n_chars")))
+    assert sorted((r["text"] or "", str(r["doc_id"])) for r in got) == sorted((t, str(keep[t])) for t in size)
+
+
+def test_exact_dedup_index_is_chained(spark):
+    from linkloom.llm import extendible_dedup as x
+
+    index = x.Index(clash(spark), capacity=1, max_depth=4)
+    chains = rows(x.build_index(index))
+    assert {r["text"]: r["group_size"] for r in chains} == {"aa": 2, "cc": 2, "dd": 3, "": 2} and {r["link"] for r in chains} == {1}
+    assert index.depth > 0 and len({r["bucket"] for r in chains}) > 1
+
+
+def test_repeated_rows_spread_over_blocks(spark):
+    """A row repeated 5000 times keeps the targets, and no block gathers more than about BLOCK of them."""
+    from pyspark.sql import functions as F
+
+    from linkloom.llm import entropy_mix as m
+
+    docs = spark.range(5000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one two three").alias("text"), F.lit("a").alias("source"))
+    docs = docs.union(spark.createDataFrame([(8, "x " * 200, "b"), (None, None, None), (9, "y", None)], "doc_id long, text string, source string"))
+    out = rows(m.entropy_mix(docs))
+    taken = Counter()
+    for r in out:
+        taken[r["source_size"]] += r["taken"]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+    assert len(out) == 5003 and abs(taken[15000] - 15201 + 600 + 3) <= 10 and taken[200] == 600
+    plans = []
+    real = m.F.collect_list
+    m.F.collect_list = lambda c: plans.append(c) or real(c)
+    try:
+        placed = m.entropy_mix(docs, block=100)
+    finally:
+        m.F.collect_list = real
+    assert plans and placed.count() == 5003
+
+
+def test_targets_of_many_sources(spark):
+    from linkloom.llm.entropy_mix import source_targets
+
+    rng = random.Random(9)
+    given = [(f"k{i}", None if i == 0 else f"é{i}" if i % 2 else f"s{i}", rng.choice([0, 1, 50, 10_000]), 3) for i in range(300)]
+    got = {r["sk"]: r["target"] for r in rows(source_targets(spark.createDataFrame(given, "sk string, source string, source_size long, docs long")))}
+    order = sorted(given, key=lambda r: (r[1] is None, (r[1] or "").encode()))
+    weight, size = {r[0]: (5, 2, 1)[i % 3] for i, r in enumerate(order)}, {r[0]: r[2] for r in given}
+    want, free = {}, {k for k in size if size[k]}
+    left = sum(size.values())
+    while True:
+        level = left / sum(weight[k] for k in free)
+        over = {k for k in free if weight[k] * level > 3 * size[k]}
+        if not over:
+            break
+        want |= {k: 3 * size[k] for k in over}
+        left -= sum(3 * size[k] for k in over)
+        free -= over
+    want |= {k: weight[k] * level for k in free}
+    assert all(got[k] == pytest.approx(want.get(k, 0), abs=1e-6) for k in size)
+
+
+def test_near_dedup_of_odd_ids(spark):
+    """Rows that share an id, or have none, are documents of their own."""
+    from linkloom.llm import circulant_minhash as c
+
+    base = " ".join(f"w{i}" for i in range(60))
+    given = [(1, base), (1, "quite another text than that"), (4, base + " x"), (None, base + " y"), (None, "alone here"), (6, None), (6, ""), (2, "quite another text than that"), (2, "quite another text than that")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 2) for i, t in given], ROWS).repartition(3)
+    got = {(str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in rows(c.near_dedup(docs, shingle=4))}
+    assert got == {("1", 57, "1"), ("4", 58, "1"), ("None", 58, "1"), ("1", 2, "1"), ("2", 2, "1"), ("None", 1, "None"), ("6", 0, "6")}
+    kept = rows(c.survivors(docs, ("doc_id", "text", "lang", "source", "n_chars"), shingle=4))
+    assert sorted((str(r["doc_id"]), (r["text"] or "")[:5]) for r in kept) == [("1", "quite"), ("1", "w0 w1"), ("6", ""), ("6", ""), ("None", "alone")]
+
+
+def test_templates_under_the_threshold_are_not_all_paired(spark, monkeypatch):
+    """400 documents that share a core at similarity 0.763 give a bounded number of pairs per document (two per band at most), not one for each pair of documents."""
+    from linkloom.llm import circulant_minhash as c
+
+    core = [f"c{i}" for i in range(229)]
+    texts = [" ".join(core + [f"u{d}x{i}" for i in range(34)]) for d in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sizes, real = [], c.materialize
+    monkeypatch.setattr(c, "materialize", lambda df, label: (lambda out: sizes.append(out.count()) or out if label == "pairs" else out)(real(df, label)))
+    out = rows(c.near_dedup(docs))
+    assert all(r["kept"] for r in out) and sum(sizes) <= 12 * 400 and sizes[2] == 0, sizes
+
+
+def test_words_of_one_pattern_differ():
+    """Strings whose polynomial hashes agree modulo 2**64 whatever the base."""
+    from linkloom.llm.shingles import word_hashes
+
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    for n in (16, 64, 1024):
+        got = word_hashes(f"{a[:n]} {b[:n]} {a[:n]}".encode())[0]
+        assert got[0] != got[1] and got[0] == got[2]
+
+
+def test_archives_roll_and_null_ids(spark):
+    import glob
+
+    from linkloom.llm import common
+    from linkloom.llm import warc_zstd as w
+
+    rng = random.Random(2)
+    given = [(i, f"http://h/{i}", " ".join(str(rng.random()) for _ in range(60)), 1) for i in range(60)] + [(None, "u", "same", 1), (70, "u", "same", 1), (71, "u", "same", 1)]
+    df = spark.createDataFrame(given, "page_id long, url string, html string, rank int").coalesce(2)
+    path = common.fresh_path(spark, "rolled")
+    w.write_archives(df, path, limit=3_000)
+    files = [f for f in glob.glob(path.removeprefix("file://") + "/part-*")]
+    assert len(files) > 8 and all(next(w.read_archive(open(f, "rb").read())) for f in files)
+    out = {(r["page_id"], r["record_type"], r["refers_to"]) for r in rows(w.read_archives(spark, path))}
+    assert len(out) == 63 and {(None, "revisit", 70), (70, "response", None), (71, "revisit", 70)} <= out
+
+
+def test_one_repeated_word_is_quick():
+    import time
+
+    import numpy as np
+
+    from linkloom.llm.compact_windows import passages, windows
+
+    began = time.time()
+    values = np.full(320_000, 9, np.uint64)
+    assert len(windows(values, np.zeros(len(values), np.int64), 40)[0]) == 1
+    same = np.full(80_000, 7, np.uint32)
+    assert passages(same, same, [(0, 0), (5, 9), (40, 3)], 50, 80)
+    assert time.time() - began < 1
+
+
+def test_windows_are_cartesian_nodes():
+    import numpy as np
+
+    from linkloom.llm.compact_windows import windows
+
+    rng = np.random.default_rng(5)
+    owner, values = np.repeat([0, 1, 2, 3], [300, 5, 80, 7]), rng.integers(0, 1 << 63, 392, dtype=np.uint64)
+    want = set()
+    for o in range(4):
+        at = np.flatnonzero(owner == o)
+        stack = [(int(at[0]), int(at[-1]) + 1)]
+        while stack:
+            a, b = stack.pop()
+            if b - a >= 10:
+                c = a + int(values[a:b].argmin())
+                want.add((c, min(c - a, 9), min(b - 1 - c, 9)))
+                stack += [(a, c), (c + 1, b)]
+    assert set(zip(*[x.tolist() for x in windows(values, owner, 10)])) == want
+
+
+def test_passages_of_repeated_ids_and_nulls(spark):
+    from linkloom.llm import compact_windows as c
+
+    rng = random.Random(11)
+    fresh = lambda n: [f"q{rng.randint(0, 10**7)}" for _ in range(n)]
+    shared = fresh(60)
+    texts = [(1, fresh(20) + shared), (1, ["a"]), (2, shared + fresh(9)), (2, shared + fresh(9)), (None, shared), (4, [])]
+    df = spark.createDataFrame([(i, " ".join(t), 3) for i, t in texts] + [(5, None, 3)], "doc_id long, text string, rank int")
+    out = {(r["doc_id"], r["class_id"], r["n_words"]) for r in rows(c.repeated_passages(df))}
+    assert out == {(1, 1, 60), (2, 1, 60)}
+
+
+def test_suffix_array_against_brute_force():
+    """Covered tokens of small hosts, in one part and in several, as found by comparing all substrings."""
+    import numpy as np
+
+    from linkloom.llm import host_suffix as h
+
+    rng = np.random.default_rng(3)
+    for depth in (3, 4, 8):
+        for _ in range(12):
+            pages = {i: rng.integers(0, 3 if depth < 8 else 2, rng.integers(0, 40)).astype(np.uint64) for i in range(5)}
+            want = {}
+            for i, t in pages.items():
+                mask = np.zeros(len(t), bool)
+                for a in range(len(t) - depth + 1):
+                    if any((t[a : a + depth] == u[b : b + depth]).all() for j, u in pages.items() if j != i for b in range(len(u) - depth + 1)):
+                        mask[a : a + depth] = True
+                want[i] = mask
+            found, _ = h.part_rows(pages, depth, False)
+            for i, t in pages.items():
+                mask = np.zeros(len(t), bool)
+                spans = found[i][0]
+                for a, b in zip(spans[::2], spans[1::2]):
+                    mask[a:b] = True
+                assert (mask == want[i]).all()
+
+
+def test_array_alone_removes_boilerplate(spark):
+    """Without marks the array decides, however a host is dealt to parts; inside articles it takes what most of a host's pages have."""
+    from linkloom.llm import host_suffix as h
+
+    line, notice = "Read more great stories on our lovely site every single day", "This site is kindly hosted by friends"
+    plain = [(i, f"http://p.example/{i}", f"<body><p>Own words number {i} of page {i}.</p><p>{line}</p><p>{i} tails tell about {i} apples.</p></body>") for i in range(9)]
+    marked = [(20 + i, f"http://m.example/{i}", f"<article><p>Article {i} has its text.</p><p>{notice}</p>{'<p>Shared by two.</p>' if i < 2 else ''}</article>") for i in range(9)]
+    few = [(40 + i, f"http://f.example/{i}", f"<article><p>Short {i}.</p><p>{notice}</p></article>") for i in range(3)]
+    alone = [(60, "http://m.example/x", f"<article><p>{notice}</p></article>")]
+    df = spark.createDataFrame([(*p, 1) for p in plain + marked + few + alone], "page_id long, url string, html string, rank int").repartition(4)
+    for part_tokens in (1 << 18, 40):
+        out = {r["page_id"]: r["text"] for r in rows(h.extract(df, part_tokens=part_tokens))}
+        for i in range(9):
+            assert out[i] == f"Own words number {i} of page {i}. {i} tails tell about {i} apples.", part_tokens
+            assert out[20 + i] == f"Article {i} has its text." + (" Shared by two." if i < 2 else "")
+        assert all(out[40 + i] == f"Short {i}. {notice}" for i in range(3)) and out[60] == notice
+
+
+def test_pages_that_share_an_id(spark):
+    from linkloom.llm import host_suffix as h
+
+    line = "the very same line of words on every page here"
+    given = [(1, "http://a/1", f"<p>{line}</p><p>one</p>", 1), (1, "http://a/2", f"<p>{line}</p><p>two</p>", 1), (None, None, "<p>x</p>", 1), (None, None, None, 1), (3, "http://a/1", f"<p>{line}</p><p>one</p>", 1)]
+    out = sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in rows(h.extract(spark.createDataFrame(given, "page_id long, url string, html string, rank int"))))
+    assert out == [("1", "one", 3), ("1", "two", 3), ("3", "one", 3), ("None", "", 0), ("None", "x", 1)]
+
+
+def test_packing_fills_gaps_and_keeps_null_ids(spark):
+    """Lengths that cannot share a sequence whole are cut, so little is padded; each id lies in one piece."""
+    from linkloom.llm.cutting_stock import pack
+
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(("a", "the", "of")) for _ in range(rng.randint(1100, 1500))) for _ in range(60)]
+    docs = spark.createDataFrame([(None if i == 3 else i // 2, t) for i, t in enumerate(texts)] + [(900, None), (901, "")], "doc_id long, text string").repartition(5)
+    out = rows(pack(docs))
+    filled = Counter()
+    for r in out:
+        filled[r["sequence_id"]] += r["length"]
+    total = sum(len(x) for x in library(texts, 1)) + 2
+    assert sum(filled.values()) == total and max(filled.values()) <= 2048 and len(filled) * 2048 - total <= 2048 + 0.005 * total
+    assert sorted((r["ids_crc32"], r["length"]) for r in out if r["doc_id"] in (900, 901)) == [(crc([1]), 1)] * 2
+    assert sum(r["length"] for r in out if r["doc_id"] is None) == len(library([texts[3]], 1)[0])
