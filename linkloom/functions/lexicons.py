@@ -30,6 +30,15 @@ SCRIPTS = (
     ("tamil", 0x0B80, 0x0BFF), ("telugu", 0x0C00, 0x0C7F), ("kannada", 0x0C80, 0x0CFF), ("malayalam", 0x0D00, 0x0D7F), ("thai", 0x0E00, 0x0E7F), ("lao", 0x0E80, 0x0EFF),
     ("myanmar", 0x1000, 0x109F), ("khmer", 0x1780, 0x17FF), ("japanese", 0x3040, 0x30FF), ("chinese", 0x4E00, 0x9FFF), ("korean", 0xAC00, 0xD7AF),
 )
+#: First code points of the Indic blocks, which share one layout.
+INDIC_BLOCKS = {"devanagari": 0x0900, "bengali": 0x0980, "gurmukhi": 0x0A00, "gujarati": 0x0A80, "oriya": 0x0B00, "tamil": 0x0B80, "telugu": 0x0C00, "kannada": 0x0C80, "malayalam": 0x0D00}
+#: ITRANS values by place in a block: marks, vowels, consonants, vowel signs.
+INDIC_LETTERS = {
+    0x01: "N", 0x02: "M", 0x03: "H", 0x05: "a", 0x06: "A", 0x07: "i", 0x08: "I", 0x09: "u", 0x0A: "U", 0x0B: "RRi", 0x0F: "e", 0x10: "ai", 0x13: "o", 0x14: "au",
+    0x15: "k", 0x16: "kh", 0x17: "g", 0x18: "gh", 0x19: "~N", 0x1A: "ch", 0x1B: "Ch", 0x1C: "j", 0x1D: "jh", 0x1E: "~n", 0x1F: "T", 0x20: "Th", 0x21: "D", 0x22: "Dh", 0x23: "N",
+    0x24: "t", 0x25: "th", 0x26: "d", 0x27: "dh", 0x28: "n", 0x2A: "p", 0x2B: "ph", 0x2C: "b", 0x2D: "bh", 0x2E: "m", 0x2F: "y", 0x30: "r", 0x32: "l", 0x33: "L", 0x35: "v",
+    0x36: "sh", 0x37: "Sh", 0x38: "s", 0x39: "h", 0x3E: "A", 0x3F: "i", 0x40: "I", 0x41: "u", 0x42: "U", 0x43: "RRi", 0x47: "e", 0x48: "ai", 0x4B: "o", 0x4C: "au",
+}
 LETTER_FOLDS = {"ß": "ss", "æ": "ae", "œ": "oe", "Æ": "AE", "ø": "o", "Ø": "O", "đ": "d", "ł": "l", "ð": "d"}
 FAMILIES = ("sig", "pfx", "tok", "phon", "ini", "hn", "atok", "combo", "hnstate", "atok2")
 

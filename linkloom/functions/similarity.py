@@ -1,11 +1,14 @@
-"""Pair similarities: set measures as expressions, string distances as one Arrow UDF with a memo per batch."""
+"""Pair similarities: set measures as expressions, string distances as one Arrow UDF over the distinct pairs of a batch."""
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .text import tokens
 
@@ -73,36 +76,50 @@ def token_set_one(a: str, b: str) -> float:
 
 
 def partial_one(a: str, b: str) -> float:
-    """Best indel similarity of the shorter string with a window of the longer; two empties are 1."""
+    """Best indel similarity of the shorter string with a window of the longer; two empties are 1.
+
+    A window cannot do better than its characters, counted, have in common; windows are tried in falling order of that bound.
+    """
     if len(a) > len(b):
         a, b = b, a
     if not a:
         return float(not b)
-    n, best = len(a), 0.0
+    if a in b:
+        return 1.0
+    n, need = len(a), Counter(a)
+    held: Counter[str] = Counter()
+    common, bounds = 0, []
     for i in range(1 - n, len(b)):
-        window = b[max(0, i) : i + n]
-        if 2 * min(n, len(window)) / (n + len(window)) > best:
-            best = max(best, indel_one(a, window))
-            if best == 1.0:
-                break
+        if i + n <= len(b):
+            new = b[i + n - 1]
+            held[new] += 1
+            common += held[new] <= need[new]
+        if i > 0:
+            old = b[i - 1]
+            common -= held[old] <= need[old]
+            held[old] -= 1
+        size = min(i + n, len(b)) - max(0, i)
+        bounds.append((2 * common / (n + size), max(0, i), i + n))
+    best = 0.0
+    for bound, x, y in sorted(bounds, key=lambda t: -t[0]):
+        if bound <= best:
+            break
+        best = max(best, indel_one(a, b[x:y]))
     return best
 
 
 KERNELS = {"jaro_winkler": jaro_winkler_one, "indel": indel_one, "token_set": token_set_one, "partial": partial_one}
 
 
-def fuzzy(kind: str, a: Column, b: Column) -> Column:
-    """One of KERNELS over two string columns."""
-    kernel = KERNELS[kind]
+def fuzzy(kinds: Sequence[str], a: Column, b: Column) -> Column:
+    """A struct of KERNELS over two string columns; each kernel sees each pair of strings of a batch once."""
+    schema = StructType([StructField(k, DoubleType()) for k in kinds])
 
-    @F.pandas_udf(DoubleType())
-    def score(x: pd.Series, y: pd.Series) -> pd.Series:
-        known: dict[tuple[str, str], float] = {}
-        out = []
-        for p in zip(x.fillna(""), y.fillna("")):
-            if p not in known:
-                known[p] = kernel(*p)
-            out.append(known[p])
-        return pd.Series(out, dtype="float64")
+    @F.pandas_udf(schema)
+    def score(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        pairs = pd.DataFrame({"x": x.fillna(""), "y": y.fillna("")})
+        once = pairs.drop_duplicates()
+        found = {k: [KERNELS[k](*p) for p in zip(once["x"], once["y"])] for k in kinds}
+        return pairs.merge(once.assign(**found), on=["x", "y"], how="left")[list(kinds)]
 
     return score(a, b)

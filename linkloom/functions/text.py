@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .lexicons import LEGAL_SUFFIXES, LETTER_FOLDS, MOJIBAKE, SCRIPTS, STREETS, state_lookup
+from .lexicons import INDIC_BLOCKS, INDIC_LETTERS, LEGAL_SUFFIXES, LETTER_FOLDS, MOJIBAKE, SCRIPTS, STREETS, state_lookup
 
 _NUMBER = r"\p{Nd}{1,6}(?:-\p{Nd}{1,6})?"
 _POSTAL = r"(?<!\p{Nd})\p{Nd}{5}(?:-\p{Nd}{4})?(?!\p{Nd})|(?<!\p{Nd})\p{Nd}{6}(?!\p{Nd})"
@@ -30,13 +30,44 @@ def unicode_fold(s: pd.Series) -> pd.Series:
     return s.map(fold_text, na_action="ignore")
 
 
+@F.pandas_udf(StringType())
+def unicode_casefold(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: unicodedata.normalize("NFKC", x).casefold(), na_action="ignore")
+
+
 def fix_mojibake(c: Column) -> Column:
     return reduce(lambda x, pair: F.replace(x, F.lit(pair[0]), F.lit(pair[1])), MOJIBAKE, c)
 
 
+def _by_script(c: Column, fold: Callable[[Column], Column]) -> Column:
+    """fold where c has other than ASCII characters, plain lower case where not; ASCII rows stay in the JVM."""
+    other = F.when(not_ascii(c), c)
+    return F.when(other.isNull(), F.lower(c)).otherwise(fold(other))
+
+
 def folded(c: Column) -> Column:
     """Repaired and folded text with & spelled out."""
-    return F.replace(unicode_fold(fix_mojibake(F.coalesce(c, F.lit("")))), F.lit("&"), F.lit(" and "))
+    return F.replace(_by_script(fix_mojibake(F.coalesce(c, F.lit(""))), unicode_fold), F.lit("&"), F.lit(" and "))
+
+
+def profile_norm(c: Column) -> Column:
+    """NFKC and case fold with accents kept, & spelled out, other characters than letters, digits and underscores as one space."""
+    return spaced(F.replace(_by_script(F.coalesce(c, F.lit("")), unicode_casefold), F.lit("&"), F.lit(" and ")))
+
+
+def truncate_bytes(c: Column, size: int) -> Column:
+    """The longest beginning of at most size UTF-8 bytes that cuts no character."""
+    cut = F.substring(F.encode(c, "UTF-8"), 1, size)
+    return F.when(F.octet_length(c) <= size, c).otherwise(F.regexp_replace(F.make_valid_utf8(cut.cast("string")), "\uFFFD+$", ""))
+
+
+def postal_like(c: Column) -> Column:
+    """First run of 5 digits (with an optional -4) or 6, bounded by other characters; "" if none."""
+    return F.regexp_extract(c, _POSTAL, 0)
+
+
+def looks_french(c: Column) -> Column:
+    return F.startswith(F.upper(F.trim(c)), F.lit("FR"))
 
 
 def spaced(c: Column) -> Column:
@@ -89,6 +120,41 @@ def script(c: Column) -> Column:
     return reduce(named, SCRIPTS, F.when(hit == "", "latin")).otherwise("unknown")
 
 
+def _roman(offset: int) -> str:
+    """Latin rendering of the letter at an offset of an Indic block, without its inherent vowel."""
+    return INDIC_LETTERS.get(offset, "")
+
+
+def romanise_one(s: str) -> str:
+    """Indic letters rendered in Latin: consonants with their inherent a, but before a vowel sign or a virama."""
+    out, waiting = [], False
+    for ch in s:
+        base = next((a for a in INDIC_BLOCKS.values() if a <= ord(ch) < a + 128), None)
+        kind = None if base is None else ord(ch) - base
+        sign = kind is not None and (0x3E <= kind <= 0x4D)
+        if waiting and not sign:
+            out.append("a")
+        waiting = False
+        if kind is None:
+            out.append(ch)
+        elif 0x15 <= kind <= 0x39:
+            out.append(_roman(kind))
+            waiting = True
+        elif kind != 0x4D:
+            out.append(str(kind - 0x66) if 0x66 <= kind <= 0x6F else _roman(kind))
+    return "".join(out) + "a" * waiting
+
+
+@F.pandas_udf(StringType())
+def romanise(s: pd.Series) -> pd.Series:
+    return s.map(romanise_one, na_action="ignore")
+
+
+def transliterate(raw: Column, found: Column) -> Column:
+    """Latin rendering of names in an Indic script; null for all others."""
+    return romanise(F.when(found.isin(*INDIC_BLOCKS), raw))
+
+
 def not_ascii(c: Column) -> Column:
     return c.rlike(r"[^\x00-\x7F]")
 

@@ -12,39 +12,59 @@ from linkloom.functions import text as tx
 from linkloom.functions.lexicons import ADDRESS_STOP, FAMILIES, NAME_STOP
 
 
-def normalise(raw: DataFrame, transliterate: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Name and address parts of raw records; transliterate (identity if none) renders non-Latin names in Latin."""
-    df = raw.withColumn("fold", tx.folded(F.col("business_name"))).withColumn("work", tx.folded(F.col("business_address")))
-    toks = tx.tokens(tx.spaced(F.col("fold")))
-    df = df.withColumn("toks", toks).withColumn("core", tx.core_tokens(F.col("toks"))).withColumn("atoks", tx.expand_streets(tx.tokens(tx.spaced(F.col("work")))))
-    df = df.withColumn("postal", tx.postal(F.col("work")))
+def _name_parts(raw: Column) -> tuple[Column, Column]:
+    toks = tx.tokens(tx.spaced(tx.folded(raw)))
+    return toks, tx.core_tokens(toks)
+
+
+def normalise(raw: DataFrame, transliterate: Callable[[Column, Column], Column] | None = tx.transliterate) -> DataFrame:
+    """Name and address parts of raw records.
+
+    transliterate(name, script) renders a name in Latin, or gives null; its rendering is normalised anew, and the native
+    form stands where there is none. Without a function all names keep their native form.
+    """
+    df = raw.withColumn("name_script", tx.script(F.coalesce("business_name", F.lit(""))))
+    rendered = transliterate(F.col("business_name"), F.col("name_script")) if transliterate else F.lit(None).cast("string")
+    df = df.withColumn("rendered", rendered).withColumn("work", tx.folded(F.col("business_address")))
+    df = df.withColumn("toks", _name_parts(F.col("business_name"))[0]).withColumn("core", tx.core_tokens(F.col("toks")))
+    df = df.withColumn("latin", F.when(F.col("rendered").isNotNull(), F.array_join(F.array_sort(_name_parts(F.col("rendered"))[1]), " ")))
+    df = df.withColumn("atoks", tx.expand_streets(tx.tokens(tx.spaced(F.col("work"))))).withColumn("postal", tx.postal(F.col("work")))
     sorted_name = F.array_join(F.array_sort("core"), " ")
     return df.select(
         "source", "entity_id", "num", "country",
         F.array_join("core", " ").alias("name_core"), sorted_name.alias("name_sorted"), F.array_join(tx.suffix_tokens(F.col("toks")), " ").alias("name_suffixes"),
-        tx.initials(F.col("core")).alias("name_initials"), tx.phon_name(F.col("core")).alias("name_phon"), tx.script(F.col("business_name")).alias("name_script"),
-        (transliterate(sorted_name) if transliterate else sorted_name).alias("name_translit"),
+        tx.initials(F.col("core")).alias("name_initials"), tx.phon_name(F.col("core")).alias("name_phon"), "name_script",
+        F.coalesce(F.when(F.col("latin") != "", F.col("latin")), sorted_name).alias("name_translit"),
         F.array_join("atoks", " ").alias("addr_norm"), tx.house_number(F.col("work"), F.col("postal")).alias("houseno"), "postal", tx.state(F.col("atoks")).alias("state"),
-        tx.not_ascii(F.col("business_name")).alias("name_nonascii"), tx.not_ascii(F.col("business_address")).alias("addr_nonascii"),
+        tx.not_ascii(F.coalesce("business_name", F.lit(""))).alias("name_nonascii"), tx.not_ascii(F.coalesce("business_address", F.lit(""))).alias("addr_nonascii"),
     )
 
 
 def blocking_keys(records: DataFrame, families: tuple[str, ...] = FAMILIES) -> DataFrame:
-    """source, entity_id, country, family, payload: a row per key, duplicates kept; all families in one pass."""
+    """source, entity_id, country, family, payload: a row per key, duplicates kept; all families in one pass.
+
+    A name in another script whose Latin rendering differs gives its signature, phonetic key and initials from the
+    rendering, and prefix and token keys from both.
+    """
     core, addr, order = tx.tokens(F.col("name_core")), tx.tokens(F.col("addr_norm")), tx.tokens(F.col("name_sorted"))
-    one = lambda cond, c: F.when(cond, F.array(c)).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    foreign = (F.col("name_script") != "latin") & (F.col("name_translit") != F.col("name_sorted"))
+    latin = F.when(foreign, tx.tokens(F.col("name_translit"))).otherwise(none)
+    spoken = F.when(foreign, latin).otherwise(core)
+    one = lambda cond, c: F.when(cond, F.array(c)).otherwise(none)
     absent = lambda stop: lambda t: ~F.array_contains(tx.literal_array(stop), t)
-    hn = F.col("houseno")
+    ends = lambda t: F.array_join(F.concat(F.slice(t, 1, 3), F.slice(t, -1, 1)), " ")
+    hn, first_letters = F.col("houseno"), tx.initials(spoken)
     pairs = F.transform(F.when(F.size(addr) > 1, F.sequence(F.lit(1), F.size(addr) - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.concat_ws(" ", F.get(addr, i - 1), F.get(addr, i)))
     payloads = {
-        "sig": one(F.lit(True), F.col("name_sorted")),
-        "pfx": one(F.lit(True), F.array_join(F.concat(F.slice(order, 1, 3), F.slice(order, -1, 1)), " ")),
-        "tok": F.filter(core, lambda t: (F.length(t) >= 3) & absent(NAME_STOP)(t)),
-        "phon": one(F.lit(True), F.col("name_phon")),
-        "ini": one((F.size(core) >= 3) & (F.length("name_initials") >= 3), F.col("name_initials")),
+        "sig": F.array(F.col("name_translit")),
+        "pfx": F.concat(F.array(ends(order)), one(F.size(latin) > 0, ends(latin))),
+        "tok": F.filter(F.concat(core, latin), lambda t: (F.length(t) >= 3) & absent(NAME_STOP)(t)),
+        "phon": F.array(tx.phon_name(spoken)),
+        "ini": one((F.size(spoken) >= 3) & (F.length(first_letters) >= 3), first_letters),
         "hn": one(hn != "", hn),
         "atok": F.filter(addr, lambda t: (F.length(t) >= 4) & t.rlike(r"^\p{L}+$") & absent(ADDRESS_STOP)(t)),
-        "combo": one(hn != "", F.concat_ws("|", hn, F.get(core, F.lit(0)))),
+        "combo": one((hn != "") & (F.size(core) > 0), F.concat_ws("|", hn, F.get(core, F.lit(0)))),
         "hnstate": one((hn != "") & (F.col("state") != ""), F.concat_ws("|", hn, F.col("state"))),
         "atok2": pairs,
     }
@@ -104,13 +124,12 @@ def native_features(pairs: DataFrame, records: DataFrame) -> DataFrame:
 
 def fuzzy_features(pairs: DataFrame, records: DataFrame) -> DataFrame:
     """The nine string-distance features."""
-    df = with_both(pairs, records, FEATURE_COLUMNS)
+    df = with_both(pairs, records, ["name_core", "name_sorted", "name_translit", "addr_norm"])
     a, b = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
-    ratio = sim.fuzzy("indel", a("name_sorted"), b("name_sorted"))
+    df = df.withColumn("n", sim.fuzzy(("jaro_winkler", "partial", "indel"), a("name_sorted"), b("name_sorted"))).withColumn("c", sim.fuzzy(("token_set",), a("name_core"), b("name_core")))
+    df = df.withColumn("t", sim.fuzzy(("jaro_winkler",), a("name_sorted"), b("name_translit"))).withColumn("d", sim.fuzzy(("token_set", "indel", "partial"), a("addr_norm"), b("addr_norm")))
     out = {
-        "jw_sorted": sim.fuzzy("jaro_winkler", a("name_sorted"), b("name_sorted")), "tsr_core": sim.fuzzy("token_set", a("name_core"), b("name_core")),
-        "pr_sorted": sim.fuzzy("partial", a("name_sorted"), b("name_sorted")), "ratio_sorted": ratio, "indel_sorted": ratio,
-        "jw_translit": sim.fuzzy("jaro_winkler", a("name_sorted"), b("name_translit")), "tsr_addr": sim.fuzzy("token_set", a("addr_norm"), b("addr_norm")),
-        "indel_addr": sim.fuzzy("indel", a("addr_norm"), b("addr_norm")), "pr_addr": sim.fuzzy("partial", a("addr_norm"), b("addr_norm")),
+        "jw_sorted": "n.jaro_winkler", "tsr_core": "c.token_set", "pr_sorted": "n.partial", "ratio_sorted": "n.indel", "indel_sorted": "n.indel", "jw_translit": "t.jaro_winkler",
+        "tsr_addr": "d.token_set", "indel_addr": "d.indel", "pr_addr": "d.partial",
     }
-    return df.select("s1_id", "other_id", *[c.alias(k) for k, c in out.items()])
+    return df.select("s1_id", "other_id", *[F.col(c).alias(k) for k, c in out.items()])

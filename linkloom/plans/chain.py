@@ -1,80 +1,151 @@
-"""The linkage chain: records, keys, buckets, candidates, pool and derived tables, each a DataFrame built on demand.
+"""The linkage chain: records, keys, buckets, candidates, pool and what follows, each a DataFrame built on demand.
 
-Tables that several steps read (records, keys, pool) are persisted; a lost executor's share is recomputed from lineage.
-Steps in STEPS are SQL over earlier tables; the rest are DataFrame functions.
+Tables that many steps read (records, keys, buckets, pool, scores) are kept in the shared folder under a name made of the
+input's files and of the limits they depend on, so another query over the same input reads them instead of making them anew.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.operators import linkage
-from linkloom.sources.directories import raw_records
-
-CAP, BUDGET, TOP_K = 500, 20_000, 10
-TAU, GATE = 0.5, 0.6
-
-STEPS = {
-    "gt": "SELECT a.entity_id AS s1_id, b.entity_id AS other_id, a.country FROM {texts} a JOIN {texts} b ON a.country = b.country AND a.digest = b.digest WHERE a.source = 1 AND b.source > 1",
-    "gt_entities": "SELECT r.entity_id AS s1_id, r.country, count(g.other_id) AS n_true FROM {records} r LEFT JOIN {gt} g ON g.s1_id = r.entity_id WHERE r.source = 1 GROUP BY r.entity_id, r.country",
-    "buckets": """SELECT a.family, b.source AS other_source, a.country, a.payload, a.c AS c1, b.c AS c2, a.c * b.c AS pc
-        FROM (SELECT family, country, payload, count(*) AS c FROM {keys} WHERE source = 1 GROUP BY family, country, payload) a
-        JOIN (SELECT source, family, country, payload, count(*) AS c FROM {keys} WHERE source > 1 GROUP BY source, family, country, payload) b
-        ON a.family = b.family AND a.country = b.country AND a.payload = b.payload""",
-    "kept": f"""SELECT family, other_source, country, payload, pc, pc_before FROM (
-        SELECT *, CAST(sum(pc) OVER (PARTITION BY family, other_source ORDER BY pc, country, payload ROWS UNBOUNDED PRECEDING) AS BIGINT) - pc AS pc_before
-        FROM {{buckets}} WHERE pc <= {CAP}) t WHERE pc_before <= {BUDGET}""",
-    "pairs": """SELECT DISTINCT x.entity_id AS s1_id, y.entity_id AS other_id, y.source AS other_source
-        FROM {kept} k JOIN {keys} x ON x.source = 1 AND x.family = k.family AND x.country = k.country AND x.payload = k.payload
-        JOIN {keys} y ON y.source = k.other_source AND y.family = k.family AND y.country = k.country AND y.payload = k.payload""",
-    "ranked": """SELECT s1_id, other_id, other_source, pri, sec,
-        CAST(row_number() OVER (PARTITION BY s1_id ORDER BY pri DESC, sec DESC, other_source, CAST(substring(other_id, 4) AS BIGINT)) AS INT) - 1 AS rnk FROM {scored}""",
-    "topk": f"SELECT * FROM {{pool}} WHERE rnk < {TOP_K}",
-    "aggs": """SELECT s1_id, max(pri) AS e_max, max(CASE WHEN rnk = 0 THEN pri ELSE 0 END) - max(CASE WHEN rnk = 1 THEN pri ELSE 0 END) AS e_gap,
-        avg(CASE WHEN rnk < 5 THEN pri END) AS e_mean5, sum(CASE WHEN pri >= 0.75 THEN 1 ELSE 0 END) AS e_n75 FROM {topk} GROUP BY s1_id""",
-    "decided": f"""SELECT t.s1_id, t.other_id, t.other_source, t.pri FROM {{topk}} t JOIN {{aggs}} a ON a.s1_id = t.s1_id WHERE t.pri >= {TAU} AND a.e_max >= {GATE}""",
-    "traced": """SELECT g.s1_id, g.other_id, g.country, coalesce(p.rnk, 65535) AS rnk, p.rnk IS NOT NULL AS found FROM {gt} g LEFT JOIN {pool} p ON p.s1_id = g.s1_id AND p.other_id = g.other_id""",
-}
+from linkloom.functions.lexicons import FAMILIES
+from linkloom.operators import blocking, diagnose, evaluate, learning, linkage
+from linkloom.sources import cache
+from linkloom.sources.directories import derived_truth, raw_records
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Production values: largest bucket product, pairs in all and per entity, decision, and full or trimmed volume."""
+
+    cap: int = 5_000
+    budget: int = 200_000_000
+    top_k: int = 80
+    tau: float = 0.5
+    gate: float = 0.6
+    full: int = 600_000_000
+    trim: int = 500_000_000
+    curve: tuple[int, ...] = (5_000, 20_000, 50_000)
+    levels: tuple[int, ...] = diagnose.LEVELS
+    plan_budget: int = diagnose.PLAN_BUDGET
+
+    @property
+    def side_budget(self) -> int:
+        """The budget's equal share of each family and side."""
+        return self.budget // (2 * len(FAMILIES))
 
 
 class Chain:
     """Tables by name over one folder of input tables."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
-        self.made: dict[str, DataFrame] = {}
+    def __init__(self, spark: SparkSession, sf_dir: str, limits: Limits = Limits()):  # noqa: B008
+        self.spark, self.sf_dir, self.limits = spark, sf_dir, limits
+
+    @cached_property
+    def input(self) -> str:
+        return cache.fingerprint(self.spark, f"{self.sf_dir}/documents.parquet")
+
+    def _kept(self, label: str, parts: tuple, build) -> DataFrame:
+        return cache.ensure(self.spark, label, (self.input, *parts), build)
 
     @cached_property
     def raw(self) -> DataFrame:
-        return raw_records(self.spark.read.parquet(f"{self.sf_dir}/documents.parquet"))
+        return self._kept("raw", (), lambda: raw_records(self.spark.read.parquet(f"{self.sf_dir}/documents.parquet")))
+
+    @cached_property
+    def records(self) -> DataFrame:
+        return self._kept("records", (), lambda: linkage.normalise(self.raw))
+
+    @cached_property
+    def truth(self) -> DataFrame:
+        return self._kept("truth", (), lambda: derived_truth(self.raw))
+
+    @cached_property
+    def entities(self) -> DataFrame:
+        """s1_id, country, n_true of every S1 row."""
+        counts = self.truth.groupBy("s1_id").agg(F.count(F.lit(1)).alias("n_true"))
+        return self.raw.filter("source = 1").select(F.col("entity_id").alias("s1_id"), "country").join(counts, "s1_id", "left").fillna(0, ["n_true"])
+
+    @cached_property
+    def keys(self) -> DataFrame:
+        return self._kept("keys", (), lambda: linkage.blocking_keys(self.records))
+
+    @cached_property
+    def buckets(self) -> DataFrame:
+        return self._kept("buckets", (), lambda: blocking.bucket_counts(self.keys))
+
+    @cached_property
+    def kept(self) -> DataFrame:
+        return blocking.budget_keep(blocking.under_cap(self.buckets, self.limits.cap), self.limits.side_budget)
 
-    def table(self, name: str) -> DataFrame:
-        if name not in self.made:
-            self.made[name] = self.sql(STEPS[name]) if name in STEPS else getattr(self, f"_{name}")()
-        return self.made[name]
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return blocking.candidate_pairs(self.kept, self.keys)
 
-    def sql(self, text: str) -> DataFrame:
-        import re
+    @cached_property
+    def pool(self) -> DataFrame:
+        """s1_id, other_id, other_source, pri, sec, rnk of every candidate pair."""
+        limits = (self.limits.cap, self.limits.budget)
+        return self._kept("pool", limits, lambda: blocking.ranked(linkage.cheap_scores(self.pairs, self.records)))
 
-        return self.spark.sql(text, **{n: self.table(n) for n in set(re.findall(r"{(\w+)}", text))})
+    @cached_property
+    def topk(self) -> DataFrame:
+        return self.pool.filter(F.col("rnk") < self.limits.top_k)
+
+    @cached_property
+    def aggregates(self) -> DataFrame:
+        return blocking.entity_aggregates(self.topk)
 
-    def _raw(self) -> DataFrame:
-        return self.raw.drop("text")
+    @cached_property
+    def decided(self) -> DataFrame:
+        return blocking.decide(self.topk, "pri", self.limits.tau, self.limits.gate)
 
-    def _texts(self) -> DataFrame:
-        return self.raw.select("source", "entity_id", "num", "country", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+    @cached_property
+    def traced(self) -> DataFrame:
+        return evaluate.traced(self.truth, self.pool)
 
-    def _records(self) -> DataFrame:
-        return linkage.normalise(self.raw.drop("text")).persist()
+    @cached_property
+    def categories(self) -> DataFrame:
+        return diagnose.miss_categories(self.traced, self.records, self.limits.top_k)
 
-    def _keys(self) -> DataFrame:
-        return linkage.blocking_keys(self.table("records")).persist()
+    @cached_property
+    def trace(self) -> DataFrame:
+        return diagnose.traces(self.traced, self.keys, self.buckets, self.limits.cap)
 
-    def _scored(self) -> DataFrame:
-        return linkage.cheap_scores(self.table("pairs"), self.table("records"))
+    @cached_property
+    def split(self) -> DataFrame:
+        return learning.learn_split(learning.stratified_split(self.entities))
 
-    def _pool(self) -> DataFrame:
-        return self.table("ranked").persist()
+    @cached_property
+    def features(self) -> DataFrame:
+        """Features of the kept candidates and of all true pairs."""
+        limits = (self.limits.cap, self.limits.budget, self.limits.top_k)
+        pairs = self.topk.select("s1_id", "other_id").union(self.truth.select("s1_id", "other_id")).distinct()
+        return self._kept("features", limits, lambda: learning.feature_matrix(pairs, self.records, self.aggregates))
+
+    @cached_property
+    def model(self):
+        return learning.train(learning.training_rows(self.split, self.topk, self.truth), self.features)
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        """s1_id, other_id, other_source, score of every kept candidate, by the model."""
+        limits = (self.limits.cap, self.limits.budget, self.limits.top_k)
+        kept = self.topk.select("s1_id", "other_id", "other_source")
+        return self._kept("scores", limits, lambda: kept.join(learning.score(self.model, self.features), ["s1_id", "other_id"]))
+
+    @cached_property
+    def val_grid(self) -> DataFrame:
+        """The threshold grid of the model's scores on the val entities."""
+        val = self.split.filter("part = 'val'").select("s1_id")
+        return evaluate.threshold_grid(self.entities.join(val, "s1_id", "left_semi"), self.truth, self.scores.join(val, "s1_id", "left_semi"), "score")
+
+    @cached_property
+    def predicted(self) -> DataFrame:
+        """The pairs that the tuned decision takes."""
+        best = evaluate.best_decision(self.val_grid).first()
+        return blocking.decide(self.scores, "score", best["tau"], best["gate"])

@@ -1,4 +1,4 @@
-"""Registered queries of the linkage engine and their DuckDB forms."""
+"""Registered queries of the linkage engine; their DuckDB forms are in plans.oracle, written on their own."""
 
 from __future__ import annotations
 
@@ -8,161 +8,233 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions import similarity as sim
+from linkloom.functions import text as tx
 from linkloom.functions.lexicons import FAMILIES
-from linkloom.operators import learning, linkage
-from linkloom.plans import caps
-from linkloom.plans.chain import BUDGET, CAP, TAU, TOP_K, Chain
-from linkloom.plans.oracle import jaccard, sql
-
-_REC = "FROM {records}"
-_HIT = f"CASE WHEN rnk < {TOP_K} THEN 1 ELSE 0 END"
-_FOUND = "CASE WHEN found THEN 1 ELSE 0 END"
-_UNION = lambda rows: " UNION ALL ".join(rows)
-_KS = "(VALUES (1), (2), (5), (10), (50))"
-_F05 = """CASE WHEN nt = 0 AND nh = 0 THEN 1.0 WHEN nt = 0 OR nh = 0 OR tp = 0 THEN 0.0
-    ELSE 1.25 * (CAST(tp AS DOUBLE) / nh) * (CAST(tp AS DOUBLE) / nt) / (0.25 * (CAST(tp AS DOUBLE) / nh) + CAST(tp AS DOUBLE) / nt) END"""
-_TAUS = [round(0.30 + 0.025 * i, 3) for i in range(27)]
-_GATES = [-1.0, *[round(0.45 + 0.05 * i, 2) for i in range(11)]]
-
-#: Queries whose text both engines run; {name} is a table of the chain.
-SHARED: dict[str, str] = {
-    "records_norm": f"SELECT entity_id, name_core, name_sorted, name_suffixes, name_nonascii {_REC}",
-    "addr_parse": f"SELECT entity_id, addr_norm, houseno, postal, state, addr_nonascii {_REC}",
-    "phonetic_key": f"SELECT entity_id, name_phon {_REC}",
-    "initials": f"SELECT entity_id, name_initials {_REC}",
-    "script_inventory": f"SELECT source, name_script, count(*) AS n, round(count(*) * 1.0e0 / sum(count(*)) OVER (PARTITION BY source), 6) AS share {_REC} GROUP BY source, name_script",
-    "ground_truth_explode": "SELECT s1_id, other_id FROM {gt}",
-    "gt_quality_issues": """SELECT sum(CASE WHEN n_true = 0 THEN 1 ELSE 0 END) AS singletons, round(avg(CAST(n_true AS DOUBLE)), 6) AS mean_matches, max(n_true) AS most,
-        sum(CASE WHEN n_true BETWEEN 3 AND 4 THEN 1 ELSE 0 END) AS n_3_4, sum(CASE WHEN n_true BETWEEN 5 AND 10 THEN 1 ELSE 0 END) AS n_5_10, sum(CASE WHEN n_true > 10 THEN 1 ELSE 0 END) AS n_over_10 FROM {gt_entities}""",
-    "cross_links": "SELECT other_id, count(*) AS claims, min(s1_id) AS first_s1 FROM {gt} GROUP BY other_id HAVING count(*) > 1",
-    **{f"keys_{f}": f"SELECT source, entity_id, country, payload FROM {{keys}} WHERE family = '{f}'" for f in FAMILIES},
-    "bucket_counts": "SELECT family, other_source, country, payload, c1, c2, pc FROM {buckets}",
-    "family_counts": f"""SELECT coalesce(b.family, 'all') AS family, count(*) AS n_buckets, CAST(sum(b.pc) AS BIGINT) AS uncapped, CAST(sum(CASE WHEN b.pc <= {CAP} THEN b.pc ELSE 0 END) AS BIGINT) AS post_cap,
-        CAST(sum(coalesce(k.pc, 0)) AS BIGINT) AS budget_kept, sum(CASE WHEN b.pc > {CAP} THEN 1 ELSE 0 END) AS dropped_buckets
-        FROM {{buckets}} b LEFT JOIN {{kept}} k ON k.family = b.family AND k.other_source = b.other_source AND k.country = b.country AND k.payload = b.payload GROUP BY ROLLUP (b.family)""",
-    "capped_join": f"""SELECT b.family, b.other_source, count(*) AS n_pairs FROM {{buckets}} b
-        JOIN {{keys}} x ON x.source = 1 AND x.family = b.family AND x.country = b.country AND x.payload = b.payload
-        JOIN {{keys}} y ON y.source = b.other_source AND y.family = b.family AND y.country = b.country AND y.payload = b.payload WHERE b.pc <= {CAP} GROUP BY b.family, b.other_source""",
-    "budget_keep": "SELECT family, other_source, country, payload, pc, pc_before FROM {kept}",
-    "trimmed_budgets": f"""SELECT family, other_source, CASE WHEN total <= 60000 THEN post_cap ELSE greatest(1, CAST(floor(post_cap * 50000.0e0 / total) AS BIGINT)) END AS budget FROM (
-        SELECT family, other_source, CAST(sum(pc) AS BIGINT) AS post_cap, CAST(sum(sum(pc)) OVER () AS BIGINT) AS total FROM {{buckets}} WHERE pc <= {CAP} GROUP BY family, other_source) t""",
-    "candidate_pairs": "SELECT s1_id, other_id FROM {pairs}",
-    "cheap_score": "SELECT s1_id, other_id, round(pri, 6) AS jaccard, round(sec, 6) AS containment, round(greatest(pri, sec), 6) AS score_v1 FROM {scored}",
-    "lex_rank": "SELECT s1_id, other_id, round(pri, 6) AS pri, round(sec, 6) AS sec, least(rnk, 65535) AS rnk FROM {pool}",
-    "topk_candidates": "SELECT s1_id, other_id, round(pri, 6) AS pri, round(sec, 6) AS sec, rnk FROM {topk}",
-    "entity_aggs": "SELECT s1_id, round(e_max, 6) AS e_max, round(e_gap, 6) AS e_gap, round(e_mean5, 6) AS e_mean5, e_n75 FROM {aggs}",
-    "decision_gate": "SELECT s1_id, other_id, round(pri, 6) AS score FROM {decided}",
-    "blocking_stats": """SELECT count(*) AS entities_with_candidates, CAST(sum(n) AS BIGINT) AS n_pairs, round(avg(CAST(n AS DOUBLE)), 6) AS mean_candidates, max(n) AS most,
-        (SELECT count(*) FROM {records} WHERE source = 1) - count(*) AS entities_without,
-        round(CAST(sum(n) AS DOUBLE) / (SELECT count(*) FROM {records} WHERE source = 1) / (SELECT count(*) FROM {records} WHERE source > 1), 9) AS reduction_ratio,
-        round(percentile_cont(0.5) WITHIN GROUP (ORDER BY n), 6) AS median_candidates, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY n), 6) AS p95 FROM (SELECT s1_id, count(*) AS n FROM {pairs} GROUP BY s1_id) t""",
-    "pair_recall": f"SELECT count(*) AS n_true, sum({_FOUND}) AS n_found, round(avg(CAST({_FOUND} AS DOUBLE)), 6) AS recall FROM {{traced}}",
-    "entity_recall": f"SELECT count(*) AS entities, sum(hit) AS complete, round(avg(CAST(hit AS DOUBLE)), 6) AS recall FROM (SELECT s1_id, min({_FOUND}) AS hit FROM {{traced}} GROUP BY s1_id) t",
-    "recall_by_country": f"SELECT country, count(*) AS n_true, round(avg(CAST({_FOUND} AS DOUBLE)), 6) AS recall FROM {{traced}} GROUP BY country",
-    "recall_by_script": f"SELECT r.name_script, r.name_nonascii, count(*) AS n_true, round(avg(CAST({_FOUND} AS DOUBLE)), 6) AS recall FROM {{traced}} t JOIN {{records}} r ON r.entity_id = t.other_id GROUP BY r.name_script, r.name_nonascii",
-    "recall_at_k": f"SELECT v.k, t.country, count(*) AS n_true, round(avg(CASE WHEN t.rnk < v.k THEN 1.0e0 ELSE 0.0e0 END), 6) AS recall FROM {{traced}} t CROSS JOIN {_KS} v(k) GROUP BY v.k, t.country",
-    "recall_ceiling": f"SELECT round(avg(CAST({_HIT} AS DOUBLE)), 6) AS pair_ceiling, round((SELECT avg(CAST(h AS DOUBLE)) FROM (SELECT min({_HIT}) AS h FROM {{traced}} GROUP BY s1_id) e), 6) AS entity_ceiling FROM {{traced}}",
-    "miss_decomposition": f"SELECT CASE WHEN rnk < {TOP_K} THEN 'delivered' WHEN found THEN 'capped_out' ELSE 'never_generated' END AS fate, count(*) AS n FROM {{traced}} GROUP BY 1",
-    "misses_anti_join": "SELECT g.s1_id, g.other_id FROM {gt} g LEFT ANTI JOIN {topk} p ON p.s1_id = g.s1_id AND p.other_id = g.other_id",
-    "negatives_anti_join": "SELECT p.s1_id, p.other_id FROM {topk} p LEFT ANTI JOIN {gt} g ON p.s1_id = g.s1_id AND p.other_id = g.other_id",
-    "miss_taxonomy": f"""SELECT category, count(*) AS n, sum(stage_a) AS stage_a_misses FROM (SELECT t.s1_id, t.other_id, CASE WHEN t.found THEN 0 ELSE 1 END AS stage_a,
-        CASE WHEN a.name_sorted = b.name_sorted THEN 'EXACT_NAME' WHEN a.houseno <> '' AND a.houseno = b.houseno AND a.state <> '' AND a.state = b.state THEN 'HN_AND_STATE'
-        WHEN x.other_id IS NOT NULL THEN 'TRANSITIVE' WHEN b.name_script <> 'latin' THEN 'NONLATIN' WHEN length(a.name_initials) >= 3 AND a.name_initials = b.name_initials THEN 'INITIALS'
-        WHEN a.addr_norm = b.addr_norm THEN 'ADDRESS' ELSE 'NONE' END AS category
-        FROM {{traced}} t JOIN {{records}} a ON a.entity_id = t.s1_id JOIN {{records}} b ON b.entity_id = t.other_id
-        LEFT JOIN (SELECT DISTINCT t1.s1_id, t1.other_id FROM {{traced}} t1 JOIN {{records}} r1 ON r1.entity_id = t1.other_id JOIN {{traced}} t2 ON t2.s1_id = t1.s1_id AND t2.other_id <> t1.other_id AND t2.rnk < {TOP_K}
-          JOIN {{records}} r2 ON r2.entity_id = t2.other_id AND r2.name_sorted = r1.name_sorted) x ON x.s1_id = t.s1_id AND x.other_id = t.other_id WHERE t.rnk >= {TOP_K}) m GROUP BY category""",
-    "trace_reasons": f"""SELECT CASE WHEN m.pc IS NULL THEN 'NOKEY' WHEN m.pc > {CAP} THEN 'CAP' ELSE 'BUDGET' END AS reason, coalesce(m.family, '') AS best_family, count(*) AS n FROM {{traced}} t LEFT JOIN (
-        SELECT s1_id, other_id, pc, family FROM (SELECT g.s1_id, g.other_id, b.pc, b.family, row_number() OVER (PARTITION BY g.s1_id, g.other_id ORDER BY b.pc, b.family, b.payload) AS r
-          FROM {{gt}} g JOIN {{keys}} x ON x.entity_id = g.s1_id JOIN {{keys}} y ON y.entity_id = g.other_id AND y.family = x.family AND y.country = x.country AND y.payload = x.payload
-          JOIN {{buckets}} b ON b.family = x.family AND b.country = x.country AND b.payload = x.payload AND b.other_source = y.source) q WHERE r = 1) m
-        ON m.s1_id = t.s1_id AND m.other_id = t.other_id WHERE NOT t.found GROUP BY 1, 2""",
-    "cap_curve": """SELECT v.cap, b.family, CAST(sum(CASE WHEN b.pc <= v.cap THEN b.pc ELSE 0 END) AS BIGINT) AS volume, round(sum(CASE WHEN b.pc <= v.cap THEN 1.0e0 ELSE 0.0e0 END) / count(*), 6) AS bucket_share
-        FROM {buckets} b CROSS JOIN (VALUES (100), (500), (5000)) v(cap) GROUP BY v.cap, b.family""",
-    "gate_check": f"""SELECT v.k, round(avg(CAST(e.hit AS DOUBLE)), 6) AS entity_recall, avg(CAST(e.hit AS DOUBLE)) >= 0.98 AS pass FROM (SELECT x.k, t.s1_id, min(CASE WHEN t.rnk < x.k THEN 1 ELSE 0 END) AS hit
-        FROM {{traced}} t CROSS JOIN {_KS} x(k) GROUP BY x.k, t.s1_id) e JOIN {_KS} v(k) ON v.k = e.k GROUP BY v.k""",
-    "rank_old_vs_new": """SELECT s1_id, other_id, rnk AS new_rank, CAST(row_number() OVER (PARTITION BY s1_id ORDER BY greatest(pri, sec) DESC, other_source, CAST(substring(other_id, 4) AS BIGINT)) AS INT) - 1 AS old_rank,
-        count(*) OVER (PARTITION BY s1_id, round(greatest(pri, sec), 9)) AS ties FROM {pool}""",
-    "position_leak": """SELECT round(corr(CAST(a.p AS DOUBLE), CAST(b.p AS DOUBLE)), 6) AS correlation, round(avg(CAST(abs(a.p - b.p) AS DOUBLE)), 6) AS mean_gap, sum(CASE WHEN abs(a.p - b.p) <= 2 THEN 1 ELSE 0 END) AS within_2 FROM {gt} g
-        JOIN (SELECT entity_id, row_number() OVER (PARTITION BY source ORDER BY num) AS p FROM {texts}) a ON a.entity_id = g.s1_id
-        JOIN (SELECT entity_id, row_number() OVER (PARTITION BY source ORDER BY num) AS p FROM {texts}) b ON b.entity_id = g.other_id""",
-    "macro_f05": f"""SELECT count(*) AS entities, round(avg({_F05}), 6) AS macro_f05, round(CAST(sum(tp) AS DOUBLE) / sum(nh), 6) AS micro_precision, round(CAST(sum(tp) AS DOUBLE) / sum(nt), 6) AS micro_recall FROM (
-        SELECT e.s1_id, max(e.n_true) AS nt, count(d.other_id) AS nh, count(g.other_id) AS tp FROM {{gt_entities}} e LEFT JOIN {{decided}} d ON d.s1_id = e.s1_id LEFT JOIN {{gt}} g ON g.s1_id = d.s1_id AND g.other_id = d.other_id GROUP BY e.s1_id) t""",
-    "threshold_grid": f"""SELECT tau, gate, round(avg({_F05}), 6) AS macro_f05 FROM (SELECT c.tau, c.gate, e.s1_id, max(e.n_true) AS nt, sum(CASE WHEN s.pri >= c.tau AND s.e_max >= c.gate THEN 1 ELSE 0 END) AS nh,
-        sum(CASE WHEN s.pri >= c.tau AND s.e_max >= c.gate AND s.truth = 1 THEN 1 ELSE 0 END) AS tp FROM {{gt_entities}} e
-        CROSS JOIN (SELECT t.tau, g.gate FROM (VALUES {", ".join(f"({t}e0)" for t in _TAUS)}) t(tau) CROSS JOIN (VALUES {", ".join(f"({g}e0)" for g in _GATES)}) g(gate)) c
-        LEFT JOIN (SELECT p.s1_id, p.pri, a.e_max, CASE WHEN g.other_id IS NULL THEN 0 ELSE 1 END AS truth FROM {{topk}} p JOIN {{aggs}} a ON a.s1_id = p.s1_id LEFT JOIN {{gt}} g ON g.s1_id = p.s1_id AND g.other_id = p.other_id) s
-        ON s.s1_id = e.s1_id GROUP BY c.tau, c.gate, e.s1_id) t GROUP BY tau, gate""",
-    "country_consistency": "SELECT a.country, count(*) AS n, round(avg(CASE WHEN a.country = b.country THEN 1.0e0 ELSE 0.0e0 END), 6) AS same FROM {gt} g JOIN {records} a ON a.entity_id = g.s1_id JOIN {records} b ON b.entity_id = g.other_id GROUP BY a.country",
-    "country_cardinality": "SELECT country, count(*) AS n, round(avg(CASE WHEN n_true = 0 THEN 1.0e0 ELSE 0.0e0 END), 6) AS singleton_share, round(avg(CAST(n_true AS DOUBLE)), 6) AS mean_matches, max(n_true) AS most FROM {gt_entities} GROUP BY country",
-    "exact_match_rates": """SELECT coalesce(a.country, 'ALL') AS country, count(*) AS n, round(avg(CASE WHEN a.business_name = b.business_name THEN 1.0e0 ELSE 0.0e0 END), 6) AS raw_rate,
-        round(avg(CASE WHEN x.name_core = y.name_core THEN 1.0e0 ELSE 0.0e0 END), 6) AS norm_rate FROM {gt} g JOIN {raw} a ON a.entity_id = g.s1_id JOIN {raw} b ON b.entity_id = g.other_id
-        JOIN {records} x ON x.entity_id = g.s1_id JOIN {records} y ON y.entity_id = g.other_id GROUP BY ROLLUP (a.country)""",
-    "missing_rates": f"SELECT source, count(*) AS n, round(avg(CASE WHEN name_core = '' THEN 1.0e0 ELSE 0.0e0 END), 6) AS no_name, round(avg(CASE WHEN postal = '' THEN 1.0e0 ELSE 0.0e0 END), 6) AS no_postal, round(avg(CASE WHEN state = '' THEN 1.0e0 ELSE 0.0e0 END), 6) AS no_state {_REC} GROUP BY source",
-    "encoding": f"SELECT source, sum(CASE WHEN name_nonascii THEN 1 ELSE 0 END) AS names_nonascii, sum(CASE WHEN addr_nonascii THEN 1 ELSE 0 END) AS addresses_nonascii {_REC} GROUP BY source",
-    "country_mix": f"SELECT source, country, count(*) AS n {_REC} GROUP BY source, country",
-    "near_miss": """SELECT a.s1_id, a.other_id, max(a.by_postal) AS by_postal, max(a.by_token) AS by_token FROM (
-        SELECT x.entity_id AS s1_id, y.entity_id AS other_id, 1 AS by_postal, 0 AS by_token FROM {records} x JOIN {records} y ON y.postal = x.postal AND x.postal <> '' WHERE x.source = 1 AND y.source > 1
-        UNION ALL SELECT x.s1_id, y.s1_id, 0, 1 FROM (SELECT entity_id AS s1_id, regexp_extract(name_core, '^[^ ]+', 0) AS t FROM {records} WHERE source = 1) x
-          JOIN (SELECT entity_id AS s1_id, regexp_extract(name_core, '^[^ ]+', 0) AS t FROM {records} WHERE source > 1) y ON x.t = y.t AND x.t <> '') a
-        LEFT JOIN {gt} g ON g.s1_id = a.s1_id AND g.other_id = a.other_id WHERE g.s1_id IS NULL GROUP BY a.s1_id, a.other_id""",
-    "validator_findings": f"""{_UNION([
-        "SELECT 'missing_s1' AS rule, 'error' AS severity, count(*) AS n FROM (SELECT entity_id FROM {records} WHERE source = 1 EXCEPT SELECT s1_id FROM {topk}) t",
-        "SELECT 'unknown_other', 'warning', count(*) FROM (SELECT other_id FROM {decided} EXCEPT SELECT entity_id FROM {records} WHERE source > 1) t",
-        "SELECT 'match_not_candidate', 'warning', count(*) FROM (SELECT s1_id, other_id FROM {gt} EXCEPT SELECT s1_id, other_id FROM {topk}) t",
-        "SELECT 'repeated_id', 'error', count(*) FROM (SELECT s1_id, other_id FROM {topk} GROUP BY s1_id, other_id HAVING count(*) > 1) t",
-    ])}""",
-}
-
-
-def _lists(table: str) -> Callable[[Chain], DataFrame]:
-    """One row per S1 record: its ids joined by commas, S2 before S3, by number."""
+from linkloom.operators import blocking, diagnose, evaluate, learning, linkage, profile
+from linkloom.plans import files
+from linkloom.plans.chain import Chain
+from linkloom.plans.oracle import ORACLES as ORACLES
+from linkloom.sources import cache
+from linkloom.sources import directories as d
 
-    def build(c: Chain) -> DataFrame:
-        ids = F.struct("other_source", F.substring("other_id", 4, 20).cast("long").alias("n"), "other_id")
-        lists = c.table(table).groupBy("s1_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(ids)), lambda s: s["other_id"]), ",").alias("ids"))
-        s1 = c.table("records").filter("source = 1").select(F.col("entity_id").alias("s1_id"))
-        return s1.join(lists, "s1_id", "left").select("s1_id", F.coalesce("ids", F.lit("")).alias("ids"))
+#: Caps of two families for the capped volume by family.
+FAMILY_CAPS = {"sig": 20_000, "hnstate": 500}
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def _truth_read(c: Chain) -> DataFrame:
+    return d.read_ground_truth(c.spark, files.truth_file(c))
+
+
+def _rows(c: Chain) -> DataFrame:
+    return profile.read_all(c.spark, files.source_files(c))
 
-    return build
 
+def _each_source(c: Chain, of: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    parts = [of(c.spark, path).withColumn("source", F.lit(source)) for source, path in files.source_files(c).items()]
+    return parts[0].union(parts[1]).union(parts[2])
 
-def _lists_sql(table: str) -> str:
-    return f"""SELECT r.entity_id AS s1_id, coalesce(string_agg(t.other_id, ',' ORDER BY t.other_source, CAST(substring(t.other_id, 4) AS BIGINT)), '') AS ids
-        FROM {{records}} r LEFT JOIN {{{table}}} t ON t.s1_id = r.entity_id WHERE r.source = 1 GROUP BY r.entity_id"""
 
+def _positions(c: Chain) -> DataFrame:
+    return _each_source(c, d.positions).drop("source")
 
-def _fuzzy(kind: str) -> Callable[[Chain], DataFrame]:
+
+def _text_functions(c: Chain) -> DataFrame:
+    name, address = F.col("business_name"), F.col("business_address")
+    return c.raw.select(
+        "entity_id", tx.spaced(tx.folded(name)).alias("folded"), tx.profile_norm(name).alias("profiled"), tx.truncate_bytes(name, 16).alias("cut"),
+        F.get(F.split(tx.profile_norm(name), " "), F.lit(0)).alias("first_token"), tx.postal_like(address).alias("postal"), tx.looks_french(F.col("country")).alias("french"), tx.not_ascii(F.coalesce(name, F.lit(""))).alias("odd"),
+    )
+
+
+def _ids(c: Chain) -> DataFrame:
+    code = d.encode_id(F.col("entity_id"))
+    return c.raw.filter("source > 1").select("entity_id", code.alias("code"), d.decode_other(code).alias("decoded"), d.encode_id(F.concat(F.lit("x"), "entity_id")).isNull().alias("refused"))
+
+
+def _fuzzy(kind: str, table: str = "topk") -> Callable[[Chain], DataFrame]:
     def build(c: Chain) -> DataFrame:
-        df = linkage.with_both(c.table("topk").select("s1_id", "other_id"), c.table("records"), ["name_sorted"])
-        return df.select("s1_id", "other_id", F.round(sim.fuzzy(kind, F.col("a_name_sorted"), F.col("b_name_sorted")), 6).alias("score"))
+        df = linkage.with_both(getattr(c, table).select("s1_id", "other_id"), c.records, ["name_sorted"])
+        return df.select("s1_id", "other_id", F.round(sim.fuzzy((kind,), F.col("a_name_sorted"), F.col("b_name_sorted"))[kind], 6).alias("score"))
 
     return build
 
 
-#: Queries built from DataFrame functions.
-BUILT: dict[str, Callable[[Chain], DataFrame]] = {
-    "candidate_lists": _lists("topk"),
-    "matching_lists": _lists("decided"),
-    "native_features": lambda c: linkage.native_features(c.table("topk").select("s1_id", "other_id"), c.table("records")),
-    "pair_features": lambda c: learning.feature_matrix(c),
-    **{f"fuzzy_{k}": _fuzzy(k) for k in sim.KERNELS},
-    "stratified_split": lambda c: learning.stratified_split(c.table("gt_entities")),
-    "hard_negatives": lambda c: learning.hard_negatives(c.table("topk"), c.table("gt")),
-    "train_score": lambda c: learning.train_score(c),
-    "cap_plan": lambda c: caps.cap_plan(c),
-}
-_NATIVE_JACCARDS = f"""SELECT p.s1_id, p.other_id, round({jaccard("a.name_core", "b.name_core")}, 6) AS jacc_core, round({jaccard("a.addr_norm", "b.addr_norm")}, 6) AS addr_jacc
-    FROM {{topk}} p JOIN {{records}} a ON a.entity_id = p.s1_id JOIN {{records}} b ON b.entity_id = p.other_id"""
-BUILT["jaccard_features"] = lambda c: BUILT["native_features"](c).select("s1_id", "other_id", "jacc_core", "addr_jacc")
+def _decided_features(c: Chain) -> DataFrame:
+    pairs = c.decided.select("s1_id", "other_id")
+    out = learning.feature_matrix(pairs, c.records, c.aggregates)
+    return _rounded(out, *[n for n in out.columns if n not in ("s1_id", "other_id")])
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    **{n: (lambda spark, sf_dir, t=t: Chain(spark, sf_dir).sql(t)) for n, t in SHARED.items()},
-    **{n: (lambda spark, sf_dir, f=f: f(Chain(spark, sf_dir))) for n, f in BUILT.items()},
-}
-ORACLES: dict[str, str] = {n: sql(t.replace("LEFT ANTI JOIN", "ANTI JOIN")) for n, t in SHARED.items()} | {
-    "candidate_lists": sql(_lists_sql("topk")),
-    "matching_lists": sql(_lists_sql("decided")),
-    "jaccard_features": sql(_NATIVE_JACCARDS),
-    "fuzzy_jaro_winkler": sql("SELECT p.s1_id, p.other_id, round(jaro_winkler_similarity(a.name_sorted, b.name_sorted), 6) AS score FROM {topk} p JOIN {records} a ON a.entity_id = p.s1_id JOIN {records} b ON b.entity_id = p.other_id"),
+
+def _recalls(c: Chain) -> DataFrame:
+    return evaluate.segments(c.traced, c.records)
+
+
+def _key_cache(c: Chain) -> DataFrame:
+    kept = cache.ensure(c.spark, "keys-by-family", (c.input,), lambda: c.keys, ("family",))
+    return kept.filter(F.col("family").isin("sig", "hnstate")).groupBy("family", "source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("payload").alias("payloads"))
+
+
+def _pair_cache(c: Chain) -> DataFrame:
+    parts = (c.input, c.limits.cap, c.limits.budget, c.limits.top_k)
+    kept = cache.ensure(c.spark, "candidates", parts, lambda: c.topk.select("s1_id", "other_id", "other_source", "rnk"))
+    return kept.groupBy("other_source").agg(F.count(F.lit(1)).alias("n"), F.max("rnk").alias("last"))
+
+
+def _report_lines(c: Chain) -> DataFrame:
+    path = cache.fresh_path(c.spark, "report")
+    cache.write_report(blocking.family_report(c.buckets, c.kept, c.limits.cap).select("family", "other_source", "uncapped", "post_cap"), path, "families")
+    return cache.read_report(c.spark, path).select(F.col("value").alias("line"))
+
+
+def _decision_file(c: Chain) -> DataFrame:
+    path, grid = cache.fresh_path(c.spark, "decision"), _grid(c)
+    cache.write_decision(evaluate.best_decision(grid), grid, path)
+    held = cache.read_decision(c.spark, path)
+    return c.spark.createDataFrame([(held["pair_threshold"], held["entity_gate"], held["macro_f05"], len(held["grid_top"]))], "tau double, gate double, macro_f05 double, listed long")
+
+
+def _grid(c: Chain) -> DataFrame:
+    return evaluate.threshold_grid(c.entities, c.truth, c.topk, "pri")
+
+
+def _old_list(c: Chain) -> DataFrame:
+    """The candidates that the older order keeps within k."""
+    return diagnose.old_and_new_ranks(c.pool).filter(F.col("old_rank") < c.limits.top_k)
+
+
+def _stored(c: Chain) -> DataFrame:
+    """The older scores as kept: the better of both, off by a little for one counterpart in 199."""
+    off = F.when(F.substring("other_id", 4, 20).cast("long") % 199 == 0, 0.01).otherwise(0.0)
+    return c.pool.select("s1_id", "other_id", (F.greatest("pri", "sec") + off).alias("score"))
+
+
+def _model_lists(c: Chain) -> DataFrame:
+    return blocking.id_lists(c.entities.select("s1_id"), c.predicted)
+
+
+def _auc(c: Chain) -> DataFrame:
+    true = c.truth.select("s1_id", "other_id", F.lit(1).alias("label"))
+    return evaluate.roc_area(c.topk.join(true, ["s1_id", "other_id"], "left").fillna(0, ["label"]), "pri", "label")
+
+
+def _model_auc(c: Chain) -> DataFrame:
+    true, stop = c.truth.select("s1_id", "other_id", F.lit(1).alias("label")), c.split.filter("part = 'stop'").select("s1_id")
+    return evaluate.roc_area(c.scores.join(stop, "s1_id", "left_semi").join(true, ["s1_id", "other_id"], "left").fillna(0, ["label"]), "score", "label")
+
+
+QUERY = Callable[[Chain], DataFrame]
+CHAINED: dict[str, QUERY] = {
+    # files
+    "source_scan": lambda c: _rows(c).select("source", "entity_id", "business_name", "business_address", "country"),
+    "source_limit": lambda c: _each_source(c, lambda s, p: d.read_source(s, p, 25)).groupBy("source").agg(F.count(F.lit(1)).alias("n")),
+    "ground_truth_scan": lambda c: _truth_read(c).select("s1_id", F.explode("others").alias("other_id")),
+    "ground_truth_merged": lambda c: d.merged_truth(_truth_read(c)).select("s1_id", F.array_join("others", ",").alias("others")),
+    "ground_truth_issues": lambda c: d.ground_truth_issues(c.spark, files.truth_file(c)),
+    "id_positions": _positions,
+    "id_set": lambda c: _each_source(c, d.read_ids).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("entity_id").alias("first")),
+    "file_inventory": lambda c: _each_source(c, profile.file_inventory),
+    "first_rows": lambda c: _each_source(c, profile.first_rows),
+    "record_cache": lambda c: c.records.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("name_sorted").alias("names")),
+    "key_cache": _key_cache,
+    "candidate_cache": _pair_cache,
+    "candidate_file": lambda c: files.lists_read_back(c, 1),
+    "matching_file": lambda c: files.lists_read_back(c, 0),
+    "report_file": _report_lines,
+    "decision_file": _decision_file,
+    "validator_findings": files.findings,
+    # records
+    "text_functions": _text_functions,
+    "id_codes": _ids,
+    "records_norm": lambda c: c.records.select("entity_id", "name_core", "name_sorted", "name_suffixes", "name_nonascii"),
+    "addr_parse": lambda c: c.records.select("entity_id", "addr_norm", "houseno", "postal", "state", "addr_nonascii"),
+    "phonetic_key": lambda c: c.records.select("entity_id", "name_phon"),
+    "initials": lambda c: c.records.select("entity_id", "name_initials"),
+    "transliterated": lambda c: c.records.select("entity_id", "name_script", "name_translit"),
+    # blocking
+    **{f"keys_{f}": lambda c, f=f: c.keys.filter(F.col("family") == f).select("source", "entity_id", "country", "payload") for f in FAMILIES},
+    "bucket_counts": lambda c: c.buckets,
+    "family_counts": lambda c: blocking.family_report(c.buckets, c.kept, c.limits.cap),
+    "family_caps": lambda c: blocking.under_cap(c.buckets, c.limits.cap, FAMILY_CAPS).groupBy("family").agg(F.sum("pc").alias("volume"), F.count(F.lit(1)).alias("n_buckets")),
+    "capped_join": lambda c: blocking.candidate_pairs(blocking.under_cap(c.buckets, c.limits.cap), c.keys).groupBy("other_source").agg(F.count(F.lit(1)).alias("n_pairs")),
+    "budget_keep": lambda c: blocking.budget_keep(blocking.under_cap(c.buckets, c.limits.cap), c.limits.side_budget).select("family", "other_source", "country", "payload", "pc"),
+    "trimmed_budgets": lambda c: blocking.trimmed_budgets(c.buckets, c.limits.cap, c.limits.full, c.limits.trim),
+    "candidate_pairs": lambda c: c.pairs.select("s1_id", "other_id"),
+    "cheap_score": lambda c: c.pool.select("s1_id", "other_id", F.round("pri", 6).alias("jaccard"), F.round("sec", 6).alias("containment"), F.round(F.greatest("pri", "sec"), 6).alias("score_v1")),
+    "lex_rank": lambda c: _rounded(c.pool.select("s1_id", "other_id", "pri", "sec", F.least("rnk", F.lit(blocking.NO_RANK)).alias("rnk")), "pri", "sec"),
+    "topk_candidates": lambda c: _rounded(c.topk.select("s1_id", "other_id", "pri", "sec", "rnk"), "pri", "sec"),
+    "entity_aggs": lambda c: _rounded(c.aggregates, "e_max", "e_gap", "e_mean5"),
+    "aggregate_lookup": lambda c: _rounded(learning.with_aggregates(c.entities.select("s1_id"), c.aggregates), "e_max", "e_gap", "e_mean5"),
+    "decision_gate": lambda c: c.decided.select("s1_id", "other_id", F.round("pri", 6).alias("score")),
+    "candidate_lists": lambda c: blocking.id_lists(c.entities.select("s1_id"), c.topk),
+    "matching_lists": lambda c: blocking.id_lists(c.entities.select("s1_id"), c.decided),
+    "blocking_stats": lambda c: blocking.blocking_report(c.pairs, c.records),
+    # recall and decisions
+    "pair_recall": lambda c: c.traced.agg(F.count(F.lit(1)).alias("n_true"), F.count_if("found").alias("n_found"), F.round(F.avg(F.col("found").cast("double")), 6).alias("recall")),
+    "entity_recall": lambda c: evaluate.entity_share(c.traced, F.col("found")),
+    "recall_by_country": lambda c: _recalls(c).groupBy("country").agg(F.count(F.lit(1)).alias("n_true"), F.round(F.avg(F.col("found").cast("double")), 6).alias("recall")),
+    "recall_by_script": lambda c: _recalls(c).groupBy("name_script", "name_nonascii").agg(F.count(F.lit(1)).alias("n_true"), F.round(F.avg(F.col("found").cast("double")), 6).alias("recall")),
+    "recall_at_k": lambda c: evaluate.recall_at(_recalls(c)),
+    "recall_ceiling": lambda c: evaluate.entity_share(c.traced, F.col("rnk") < c.limits.top_k),
+    "gate_check": lambda c: evaluate.gate_check(c.traced, c.records),
+    "macro_f05": lambda c: evaluate.macro_f05(c.entities, c.truth, c.decided),
+    "macro_f05_empty": lambda c: evaluate.macro_f05(c.entities, c.truth, c.decided.limit(0)),
+    "threshold_grid": _grid,
+    "best_decision": lambda c: evaluate.best_decision(_grid(c)),
+    "auc": _auc,
+    # losses
+    "miss_decomposition": lambda c: diagnose.decomposition(c.traced, c.limits.top_k),
+    "misses_anti_join": lambda c: c.truth.join(c.topk.select("s1_id", "other_id"), ["s1_id", "other_id"], "left_anti"),
+    "negatives_anti_join": lambda c: c.topk.select("s1_id", "other_id").join(c.truth, ["s1_id", "other_id"], "left_anti"),
+    "miss_categories": lambda c: c.categories.select("s1_id", "other_id", "category"),
+    "miss_taxonomy": lambda c: diagnose.miss_taxonomy(c.categories),
+    "miss_examples": lambda c: diagnose.examples(c.categories, c.raw),
+    "old_versus_new": lambda c: diagnose.old_versus_new(c.traced, _old_list(c), c.limits.top_k),
+    "trace_pairs": lambda c: c.trace,
+    "trace_reasons": lambda c: diagnose.trace_reasons(c.trace),
+    "cap_histogram": lambda c: diagnose.cap_histogram(c.trace),
+    "nokey_matrix": lambda c: diagnose.nokey_matrix(c.trace, c.keys),
+    "cap_curve": lambda c: diagnose.cap_curve(c.buckets, c.traced, c.trace, c.limits.curve, c.limits.full),
+    "level_table": lambda c: diagnose.level_table(c.buckets, c.trace, c.limits.cap, c.limits.levels),
+    "cap_plan": lambda c: diagnose.cap_plan(diagnose.level_table(c.buckets, c.trace, c.limits.cap, c.limits.levels), c.limits.cap, c.limits.levels, c.limits.plan_budget),
+    "rank_old_vs_new": lambda c: diagnose.old_and_new_ranks(c.pool).select("s1_id", "other_id", F.col("rnk").alias("new_rank"), "old_rank", "ties"),
+    "ranker_check": lambda c: diagnose.ranker_check(c.pool, _stored(c), diagnose.miss_categories(c.traced, c.records, 0), c.limits.top_k),
+    "position_leak": lambda c: diagnose.position_leak(c.truth, _positions(c)),
+    # profiles
+    "script_inventory": lambda c: profile.script_inventory(c.records),
+    "cross_script": lambda c: profile.cross_script(c.truth, c.records),
+    "truth_stats": lambda c: profile.truth_stats(c.entities),
+    "truth_histogram": lambda c: profile.truth_histogram(c.entities),
+    "truth_sources": lambda c: profile.truth_sources(c.entities, c.truth),
+    "cross_links": lambda c: profile.cross_links(c.truth),
+    "truth_and_files": lambda c: profile.truth_and_files(d.merged_truth(_truth_read(c)).select("s1_id", F.explode("others").alias("other_id")), _truth_read(c), _rows(c)),
+    "country_mix": lambda c: profile.country_mix(_rows(c)),
+    "new_labels": lambda c: profile.new_labels(c.raw.filter("num % 97 <> 0 AND country <> 'de'"), _rows(c)),
+    "missing_rates": lambda c: profile.missing_rates(_rows(c)),
+    "french_rows": lambda c: profile.french(c.raw),
+    "country_consistency": lambda c: profile.country_consistency(c.truth, c.raw),
+    "country_mismatches": lambda c: profile.country_mismatches(c.truth, c.raw),
+    "country_cardinality": lambda c: profile.country_cardinality(c.entities),
+    "exact_match_rates": lambda c: profile.exact_matches(profile.sampled(c.truth, 50_000, "s1_id", "other_id"), c.raw),
+    "sampled_pairs": lambda c: diagnose.examples(profile.sampled(c.truth, 20, "s1_id", "other_id").withColumn("category", F.lit("sample")), c.raw, 20),
+    "near_miss": lambda c: profile.near_misses(c.truth, c.raw),
+    "near_miss_reasons": lambda c: profile.near_misses(c.truth, c.raw).groupBy("reason").agg(F.count(F.lit(1)).alias("n")),
+    # features and the classifier
+    "native_features": lambda c: linkage.native_features(c.topk.select("s1_id", "other_id"), c.records),
+    "pair_features": _decided_features,
+    **{f"fuzzy_{k}": _fuzzy(k) for k in ("jaro_winkler", "indel", "token_set")},
+    "fuzzy_partial": _fuzzy("partial", "decided"),
+    "stratified_split": lambda c: learning.stratified_split(c.entities),
+    "learn_split": lambda c: c.split,
+    "hard_negatives": lambda c: learning.hard_negatives(c.topk, c.truth),
+    "training_rows": lambda c: learning.training_rows(c.split, c.topk, c.truth),
+    "train_score": lambda c: c.scores.select("s1_id", "other_id", F.round("score", 6).alias("score")),
+    "tuned_threshold": lambda c: evaluate.best_decision(c.val_grid),
+    "model_auc": _model_auc,
+    "predict_lists": _model_lists,
 }
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: (lambda spark, sf_dir, f=f: f(Chain(spark, sf_dir))) for n, f in CHAINED.items()}
