@@ -151,6 +151,12 @@ def script_inventory(records: DataFrame) -> DataFrame:
     return sizes.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("source")), 6))
 
 
+def translit_check(records: DataFrame) -> DataFrame:
+    """name_script, n, rendered (names whose Latin rendering differs from the native form) and the first rendering of each other script."""
+    other = records.filter("name_script <> 'latin'")
+    return other.groupBy("name_script").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("name_translit") != F.col("name_sorted")).alias("rendered"), F.min("name_translit").alias("sample"))
+
+
 def cross_script(truth: DataFrame, records: DataFrame) -> DataFrame:
     """One row: true pairs, those of two scripts, entities, those with a non-Latin match, those all of whose matches are non-Latin."""
     script = lambda key, name: records.select(F.col("entity_id").alias(key), F.col("name_script").alias(name))
@@ -164,9 +170,9 @@ def french(rows: DataFrame, most: int = 12) -> DataFrame:
     return rows.filter(tx.looks_french(F.col("country"))).orderBy("source", "num").limit(most).select("source", "entity_id", F.left("business_name", F.lit(70)).alias("name"))
 
 
-def read_all(spark: SparkSession, paths: dict[int, str]) -> DataFrame:
-    """The rows of the source files, with source and num."""
-    parts = [read_source(spark, path).withColumn("source", F.lit(source)) for source, path in sorted(paths.items())]
+def read_all(spark: SparkSession, paths: dict[int, str], limit: int | None = None) -> DataFrame:
+    """The rows of the source files, at most limit of each, with source and num."""
+    parts = [read_source(spark, path, limit).withColumn("source", F.lit(source)) for source, path in sorted(paths.items())]
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)

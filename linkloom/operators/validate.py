@@ -5,17 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.sources.cache import exists
 from linkloom.sources.directories import lines_of
 
 EXAMPLES = 5
 _FINDING = "file string, rule string, severity string, n long, examples string"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place))
-
-
 def _finding(offenders: DataFrame, file: str, rule: str, severity: str = "error") -> DataFrame:
     """offenders(id): one row, the first of them by code point."""
     ids = offenders.select(F.col("id").cast("string").alias("id")).distinct()
@@ -37,7 +33,7 @@ def check_lists(spark: SparkSession, path: str, header: tuple[str, str], require
     required(entity_id): entities that need a row each; targets(entity_id): ids that may be named, if that is checked.
     """
     file = header[1]
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return _fatal(spark, file, "file missing"), None
     lines = lines_of(spark, path)
     first = lines.filter("line = 1").select("value").first()
@@ -83,7 +79,7 @@ def validate(spark: SparkSession, matching: str, candidates: str | None, require
         findings = findings.union(_fatal(spark, "matched_entity_ids", "ids not checked against the files", "warning"))
     if candidates is None:
         return findings
-    if not _exists(spark, candidates):
+    if not exists(spark, candidates):
         return findings.union(_fatal(spark, "candidate_entity_ids", "file missing", "warning"))
     more, named = check_lists(spark, candidates, ("source1_entity_id", "candidate_entity_ids"), required, targets)
     findings = findings.union(more)

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions.lexicons import FAMILIES
-from linkloom.operators import blocking, diagnose, evaluate, learning, linkage
+from linkloom.operators import blocking, diagnose, evaluate, learning, linkage, profile
 from linkloom.sources import cache
-from linkloom.sources.directories import derived_truth, raw_records
+from linkloom.sources.directories import derived_truth, raw_records, read_ground_truth
 
 
 @dataclass(frozen=True)
@@ -45,6 +45,11 @@ class Chain:
     def __init__(self, spark: SparkSession, sf_dir: str, limits: Limits = Limits()):  # noqa: B008
         self.spark, self.sf_dir, self.limits = spark, sf_dir, limits
 
+    @classmethod
+    def of_files(cls, spark: SparkSession, dataset: str, split: str, limits: Limits = Limits(), limit: int | None = None) -> Chain:  # noqa: B008
+        """The chain over the files dataset/split/split_source1.tsv and so on; without a truth file there is no truth."""
+        return _FileChain(spark, f"{dataset}/{split}/{split}", limits, limit)
+
     @cached_property
     def input(self) -> str:
         return cache.fingerprint(self.spark, f"{self.sf_dir}/documents.parquet")
@@ -149,3 +154,27 @@ class Chain:
         """The pairs that the tuned decision takes."""
         best = evaluate.best_decision(self.val_grid).first()
         return blocking.decide(self.scores, "score", best["tau"], best["gate"])
+
+
+class _FileChain(Chain):
+    """A chain whose records and truth come from files that begin with sf_dir."""
+
+    def __init__(self, spark: SparkSession, stem: str, limits: Limits, limit: int | None):
+        super().__init__(spark, stem, limits)
+        self.limit = limit
+
+    @cached_property
+    def input(self) -> str:
+        return cache.fingerprint(self.spark, f"{self.sf_dir}_*.tsv") + str(self.limit)
+
+    @cached_property
+    def raw(self) -> DataFrame:
+        rows = profile.read_all(self.spark, {s: f"{self.sf_dir}_source{s}.tsv" for s in (1, 2, 3)}, self.limit)
+        return self._kept("raw", (), lambda: rows.withColumn("country", F.trim("country")))
+
+    @cached_property
+    def truth(self) -> DataFrame:
+        path = f"{self.sf_dir}_ground_truth.tsv"
+        if not cache.exists(self.spark, path):
+            return self.spark.createDataFrame([], "s1_id string, other_id string")
+        return self._kept("truth", (), lambda: read_ground_truth(self.spark, path).select("s1_id", F.explode("others").alias("other_id")).distinct())

@@ -302,7 +302,7 @@ _ISSUES = {
     "decode error": "false", "wrong column count": "contains(rest, chr(9))", "empty entity": "s1_id = ''", "repeated id": "len(list_distinct(ids)) < len(ids)",
 }
 _LEVELS = f"""SELECT family, level, CAST(coalesce(sum(pc) FILTER (WHERE pc <= level), 0) AS BIGINT) AS volume, CAST((SELECT count(*) FROM {{trace}} t WHERE t.reason = 'CAP' AND t.best_family = b.family AND t.min_pc <= b.level) AS BIGINT) AS saved
-    FROM (SELECT family, pc, v.level FROM {{buckets}}, {_values((CAP, *LEVELS))} v(level)) b GROUP BY family, level"""
+    FROM (SELECT family, pc, v.level FROM {{buckets}}, {_values((f'{CAP}::BIGINT', *LEVELS))} v(level)) b GROUP BY family, level"""
 _SIDES = "a.{0} AS a_{0}, b.{0} AS b_{0}"
 _RAW_SIDES = ", ".join(_SIDES.format(c) for c in ("business_name", "business_address", "country"))
 _EXACT = ", ".join(
@@ -352,6 +352,7 @@ FORMS: dict[str, str] = {
     "phonetic_key": "SELECT entity_id, name_phon FROM {records}",
     "initials": "SELECT entity_id, name_initials FROM {records}",
     "transliterated": "SELECT entity_id, name_script, name_translit FROM {records}",
+    "translit_check": "SELECT name_script, count(*) AS n, count(*) FILTER (WHERE name_translit <> name_sorted) AS rendered, min(name_translit) AS sample FROM {records} WHERE name_script <> 'latin' GROUP BY name_script",
     **{f"keys_{f}": f"SELECT source, entity_id, country, payload FROM {{keys}} WHERE family = '{f}'" for f in FAMILIES},
     "bucket_counts": "SELECT family, other_source, country, payload, c1, c2, pc FROM {buckets}",
     "family_counts": _FAMILY_REPORT,

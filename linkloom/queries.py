@@ -154,6 +154,7 @@ CHAINED: dict[str, QUERY] = {
     "phonetic_key": lambda c: c.records.select("entity_id", "name_phon"),
     "initials": lambda c: c.records.select("entity_id", "name_initials"),
     "transliterated": lambda c: c.records.select("entity_id", "name_script", "name_translit"),
+    "translit_check": lambda c: profile.translit_check(c.records),
     # blocking
     **{f"keys_{f}": lambda c, f=f: c.keys.filter(F.col("family") == f).select("source", "entity_id", "country", "payload") for f in FAMILIES},
     "bucket_counts": lambda c: c.buckets,

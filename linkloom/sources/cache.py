@@ -36,9 +36,16 @@ def _files(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place, files = _files(spark, path)
+    return bool(files.exists(place))
+
+
 def fingerprint(spark: SparkSession, path: str) -> str:
-    """A hash of the names, sizes and times of a table's files; no content is read."""
-    rows = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime").collect()
+    """A hash of the names, sizes and times of a table's files (or of those that a pattern names); no content is read."""
+    folder, _, name = path.rpartition("/")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", name).load(folder) if "*" in name else spark.read.format("binaryFile").load(path)
+    rows = found.select("path", "length", "modificationTime").collect()
     return hashlib.sha256(repr(sorted((r[0], r[1], str(r[2])) for r in rows)).encode()).hexdigest()
 
 

@@ -410,6 +410,47 @@ def test_pairs_equal_brute_force(spark):
     assert chain.topk.groupBy("s1_id").count().agg(F.max("count")).first()[0] <= 5
 
 
+def test_commands_end_to_end(spark, tmp_path, capsys):
+    """Train on one folder of files, predict on another: the lists hold what the names tell, and the validator passes them."""
+    from linkloom.__main__ import main
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(3))
+    true = {}
+    for split in ("train", "test"):
+        files = {1: [], 2: [], 3: []}
+        for i in range(150):
+            name, street = f"{word()} {word()} {word()}", f"{rng.randint(1, 99)} {word()} St, {word()}"
+            files[1].append((f"S1-{i}", f"{name} Ltd", street, "US"))
+            for s in (2, 3):
+                if i % (s + 1):
+                    files[s].append((f"S{s}-{i + 500}", name.replace("a", "e", i % 2).title(), street.replace("St", "Street"), "US"))
+                    true.setdefault((split, f"S1-{i}"), []).append(f"S{s}-{i + 500}")
+                files[s].append((f"S{s}-{i + 2000}", f"{name.split()[0]} {word()}", f"{rng.randint(1, 99)} {word()} Rd", "US"))
+        (tmp_path / split).mkdir()
+        for s, rows in files.items():
+            (tmp_path / split / f"{split}_source{s}.tsv").write_text("\t".join(d.RAW) + "\n" + "".join("\t".join(r) + "\n" for r in rows))
+    lines = "".join(f"S1-{i}\t{','.join(true.get(('train', f'S1-{i}'), []))}\n" for i in range(150))
+    (tmp_path / "train" / "train_ground_truth.tsv").write_text("\t".join(d.GROUND_TRUTH) + "\n" + lines)
+    base = ["--dataset", str(tmp_path), "--out", str(tmp_path / "out")]
+    assert main(["inspect", *base], spark) == 0 and main(["block", *base, "--limit", "50"], spark) == 0
+    import shutil
+
+    shutil.rmtree(tmp_path / "out")
+    assert main(["train", *base], spark) == 0
+    assert main(["predict", *base, "--split", "test", "--check-ids"], spark) == 0
+    got = {}
+    for f in sorted(glob.glob(f"{tmp_path}/out/matching_results.tsv/part-*")):
+        for line in open(f).read().splitlines():
+            s1, _, ids = line.partition("\t")
+            got[s1] = [x for x in ids.split(",") if x]
+    assert got.pop("source1_entity_id") and list(got) == [f"S1-{i}" for i in range(150)]
+    pairs, want = {(s, x) for s, ids in got.items() for x in ids}, {(k, x) for (split, k), ids in true.items() if split == "test" for x in ids}
+    assert len(pairs & want) >= 0.9 * len(want) and len(pairs & want) >= 0.9 * len(pairs)
+    shutil.rmtree(tmp_path / "out" / "matching_results.tsv")
+    assert main(["validate", *base, "--split", "test"], spark) == 1
+
+
 CHECKED = ["source_scan", "validator_findings", "records_norm", "transliterated", "family_counts", "topk_candidates", "recall_at_k", "threshold_grid", "miss_taxonomy", "trace_pairs", "level_table", "pair_features", "near_miss", "learn_split"]
 
 
