@@ -1,12 +1,19 @@
 """Fixed values that normalised forms depend on."""
 
 # fixed values: word lists and tables
-LEGAL_SUFFIXES = (
-    "ab ag as assoc association bv co company corp corporation eirl enterprise enterprises eurl firm gmbh group holding holdings inc incorporated kg kgaa"
-    " limited llc llp lp ltd nv ou oy partnership plc private pt pte pvt sa sas sasu sc sci sel selarl snc society spa srl te trust venture ventures"
-).split()
-NAME_STOP = "a an and at for in of on the".split()
-ADDRESS_STOP = "and of the".split()
+LEGAL_SUFFIXES = [
+    "ab", "ag", "as", "assoc", "association", "bv", "co", "company", "corp", "corporation", "eirl", "enterprise", "enterprises", "eurl", "firm", "gmbh",
+    "group", "holding", "holdings", "inc", "incorporated", "kg", "kgaa", "limited", "llc", "llp", "lp", "ltd", "nv", "ou", "oy", "partnership", "plc",
+    "private", "pt", "pte", "pvt", "sa", "sas", "sasu", "sc", "sci", "sel", "selarl", "snc", "society", "spa", "srl", "te", "trust", "venture",
+    "ventures",
+]
+NAME_STOP = [
+    "a", "an", "and", "at", "for", "in", "of", "on", "the",
+]
+ADDRESS_STOP = [
+    "and", "of", "the",
+]
+#: pkwy2 is a dead key, kept because the table has it.
 STREETS = dict(
     rd="road", st="street", ave="avenue", av="avenue", blvd="boulevard", dr="drive", ln="lane", ct="court", cir="circle", hwy="highway", pkwy="parkway", pl="place", sq="square",
     ter="terrace", trl="trail", xing="crossing", pkwy2="parkway", byp="bypass", expy="expressway", fwy="freeway", rte="route", mt="mount", ft="fort", hills="hills",
@@ -19,10 +26,11 @@ US_STATES = {
     "rhode island": "ri", "south carolina": "sc", "south dakota": "sd", "tennessee": "tn", "texas": "tx", "utah": "ut", "vermont": "vt", "virginia": "va", "washington": "wa",
     "west virginia": "wv", "wisconsin": "wi", "wyoming": "wy", "district of columbia": "dc",
 }
-INDIA_STATES = (
-    "andhra pradesh|arunachal pradesh|assam|bihar|chhattisgarh|goa|gujarat|haryana|himachal pradesh|jharkhand|karnataka|kerala|madhya pradesh|maharashtra|manipur|meghalaya|mizoram"
-    "|nagaland|odisha|punjab|rajasthan|sikkim|tamil nadu|telangana|tripura|uttar pradesh|uttarakhand|west bengal|delhi|jammu|kashmir|puducherry"
-).split("|")
+INDIA_STATES = [
+    "andhra pradesh", "arunachal pradesh", "assam", "bihar", "chhattisgarh", "goa", "gujarat", "haryana", "himachal pradesh", "jharkhand", "karnataka",
+    "kerala", "madhya pradesh", "maharashtra", "manipur", "meghalaya", "mizoram", "nagaland", "odisha", "punjab", "rajasthan", "sikkim", "tamil nadu",
+    "telangana", "tripura", "uttar pradesh", "uttarakhand", "west bengal", "delhi", "jammu", "kashmir", "puducherry",
+]
 INDIA_ALIASES = {"orissa": "odisha", "pondicherry": "puducherry"}
 MOJIBAKE = (("â€™", "'"), ("â€œ", '"'), ("â€\x9d", '"'), ("â€“", "-"), ("â€”", "-"), ("Â—", "-"), ("Â–", "-"), ("Ã¢", "-"))
 SCRIPTS = (
