@@ -51,9 +51,28 @@ def discard(spark: SparkSession, path: str) -> None:
 
 
 def map_batches(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
-    """mapInArrow with batches of at most BATCH_BYTES (or one row); the session keeps that one value for all operators."""
+    """mapInArrow with batches of at most BATCH_BYTES (or one row); the session keeps that one value for all operators.
+
+    A worker outlives its tasks, so after each it gives the memory that is free again back to the system.
+    """
+
+    def task(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(task, schema)
+
+
+def give_back() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # GNU C library only
+    if trim:
+        trim(0)
 
 
 def sliced(batches: Iterator, rows: int = BATCH_ROWS) -> Iterator:
