@@ -6,7 +6,7 @@ frame. The index is a JSON document in a frame of its own: format, plane kind, a
 lengths; then the documents in order with their token counts. The last 16 bytes before the final mark give the index's
 place. A document may span chunks.
 
-Documents are dealt to shards by ranges of doc_id and a hash of the text (sampled by Spark) and sorted within, so shards in order are documents
+Documents are dealt to shards by ranges of doc_id (sampled by Spark) and sorted within, so shards in order are documents
 in ascending id order; there are as many as the session's shuffle partitions, unless a number is given. Start positions are
 running totals of the shards' totals, in two levels.
 
@@ -32,6 +32,8 @@ from .tokens import TEXTS, encoder, vocabulary
 
 BLOCK = 1 << 16
 END_ID = 2
+#: Units a worker keeps while it encodes; nothing else of weight is held here.
+CACHED = 1_200_000
 _FORMAT = "bit-plane-ids-1"
 _TAIL = struct.Struct("<QQ")
 
@@ -130,12 +132,11 @@ def write_ids(docs: DataFrame, path: str, shards: int | None = None, bits: bool
 
     vocab, end = vocab or vocabulary(), np.array([end_id], "<u4").tobytes()
     full = docs.select(F.col("doc_id").cast("long"), "text")
-    # without a number the session's shuffle partitions hold; the second key spreads an id that many texts share
-    order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc())
-    dealt = (full.repartitionByRange(*order) if shards is None else full.repartitionByRange(shards, *order)).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
+    order = F.col("doc_id").asc_nulls_first()  # without a number the session's shuffle partitions hold
+    dealt = (full.repartitionByRange(order) if shards is None else full.repartitionByRange(shards, order)).sortWithinPartitions(order, F.col("text").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocab).encode_batch
+        encode = encoder(vocab, CACHED).encode_batch
 
         def rows() -> Iterator[tuple[int, bytes]]:
             for part in sliced(batches, TEXTS):

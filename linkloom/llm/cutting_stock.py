@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, materialize, sliced, starts, with_ids
-from .tokens import encoder, vocabulary
+from .tokens import TEXTS, encoder, vocabulary
 
 CAPACITY = 2048
 GRAIN = 8
@@ -148,7 +148,7 @@ def pieces(docs: DataFrame, capacity: int, grain: int, end_id: int, path: str) -
         from pyspark import TaskContext
 
         encode, lane, met = encoder(path).encode_batch, TaskContext.get().partitionId(), {}
-        for batch in sliced(batches):
+        for batch in sliced(batches, TEXTS):
             rows, ids_ = [], []
             for i, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
                 data = ids + end

@@ -19,11 +19,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Units a worker keeps at most, but for those of one chunk.
+#: Units a worker keeps at most, but for those of one chunk (about 250 bytes each), unless an operator asks for another number.
 CACHED = 800_000
 #: Characters of the texts that are cut at once; a longer text is a chunk of its own.
 CHUNK = 4 << 20
-TEXTS = 1_000
+TEXTS = 4_000
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 _ODD = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff]")
 _MARKS = frozenset(",.!?;:")
@@ -46,9 +46,11 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int | None = None):
         import os
 
+        self.cached = cached or CACHED
+
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -95,31 +97,33 @@ class Encoder:
         return out
 
     def _ids(self, units: list[str]) -> list[bytes]:
-        if len(self.kept) + len(units) > CACHED // 2:
+        if len(self.kept) + len(units) > self.cached // 2:
             self.old, self.kept = self.kept, {}
-        kept = self.kept
-        found = list(map(kept.get, units))
+        found = list(map(self.kept.get, units))
         if None in found:
-            self._learn([u for u, ids in zip(units, found) if ids is None])
-            found = list(map(kept.__getitem__, units))
+            at = [i for i, ids in enumerate(found) if ids is None]
+            for i, ids in zip(at, self._learn([units[i] for i in at])):
+                found[i] = ids
         return found
 
-    def _learn(self, missing: list[str]) -> None:
+    def _learn(self, missing: list[str]) -> list[bytes]:
+        """The ids of units that are not among the kept ones, which they join; those of the older generation move on."""
         kept, old, single, marks, rest = self.kept, self.old, self._single, self.marks, []
-        for unit in missing:
-            ids = old.get(unit)
-            if ids is None:
-                word = unit[1:] if unit[:1] == " " else unit
+        out = list(map(old.get, missing))
+        for i, unit in enumerate(missing):
+            if out[i] is None:
+                word = unit[1:] if unit[0] == " " else unit
                 if word.isalpha():
-                    ids = single(unit)
+                    out[i] = single(unit)
                 elif word[-1:] in marks and word[:-1].isalpha():
                     base = unit[:-1]
-                    ids = (kept.get(base) or old.get(base) or single(base)) + marks[word[-1]]
+                    out[i] = (kept.get(base) or old.get(base) or single(base)) + marks[word[-1]]
                 else:
-                    rest.append(unit)
-                    continue
-            kept[unit] = ids
-        kept.update(zip(rest, self._plain(rest)))
+                    rest.append(i)
+        for i, ids in zip(rest, self._plain([missing[i] for i in rest])):
+            out[i] = ids
+        kept.update(zip(missing, out))
+        return out
 
     def _single(self, piece: str) -> bytes:
         """Ids of what the pre-tokeniser leaves whole: letters, with a space before them or not, or one mark."""
@@ -128,6 +132,8 @@ class Encoder:
         else:
             shown = "".join(map(_ALIAS.__getitem__, piece.encode()))
         found = self.model.tokenize(shown)
+        if len(found) == 1:
+            return _PACK[1](found[0].id)
         return _PACK[len(found)](*[t.id for t in found]) if len(found) < len(_PACK) else np.array([t.id for t in found], "<u4").tobytes()
 
     def _plain(self, texts: list[str]) -> list[bytes]:
@@ -135,5 +141,5 @@ class Encoder:
 
 
 @lru_cache(1)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, cached: int | None = None) -> Encoder:
+    return Encoder(path, cached)
