@@ -33,7 +33,7 @@ from .tokens import TEXTS, encoder, vocabulary
 BLOCK = 1 << 16
 END_ID = 2
 #: Units a worker keeps while it encodes; nothing else of weight is held here.
-CACHED = 1_200_000
+CACHED = 1_000_000
 _FORMAT = "bit-plane-ids-1"
 _TAIL = struct.Struct("<QQ")
 
