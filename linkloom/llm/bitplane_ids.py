@@ -124,7 +124,7 @@ def read_shard(data: bytes) -> Iterator[tuple[int, bytes]]:
         held = held[4 * n :]
 
 
-def write_ids(docs: DataFrame, path: str, shards: int | None = None, bits: bool = True, end_id: int = END_ID, vocab: str | None = None, block: int = BLOCK) -> None:
+def write_ids(docs: DataFrame, path: str, shards: int | None = None, bits: bool = True, end_id: int = END_ID, vocab: str | None = None, block: int = BLOCK, cached: int | None = None) -> None:
     """Tokenize docs and write shard files under path in ascending doc_id order."""
     import pyarrow as pa
 
@@ -134,7 +134,7 @@ def write_ids(docs: DataFrame, path: str, shards: int | None = None, bits: bool
     dealt = (full.repartitionByRange(order) if shards is None else full.repartitionByRange(shards, order)).sortWithinPartitions(order, F.col("text").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocab).encode_batch
+        encode = encoder(vocab, cached).encode_batch
 
         def rows() -> Iterator[tuple[int, bytes]]:
             for part in sliced(batches, TEXTS):

@@ -134,7 +134,7 @@ def take_apart(chosen: list[tuple[dict[int, int], int]], mean: dict[int, float],
     return out
 
 
-def pieces(docs: DataFrame, capacity: int, grain: int, end_id: int, path: str) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int, grain: int, end_id: int, path: str, cached: int | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, ids, kind, lane, at: full pieces (kind -1) and the remainder of each document.
 
     kind is the length's class, lane the task, at the piece's number among those of its kind and lane.
@@ -147,7 +147,7 @@ def pieces(docs: DataFrame, capacity: int, grain: int, end_id: int, path: str) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, lane, met = encoder(path).encode_batch, TaskContext.get().partitionId(), {}
+        encode, lane, met = encoder(path, cached).encode_batch, TaskContext.get().partitionId(), {}
         for batch in sliced(batches, TEXTS):
             rows, ids_ = [], []
             for i, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
@@ -197,10 +197,10 @@ def _cut(ribbon: DataFrame, used: DataFrame, base: int, capacity: int, least: in
     return met.select("doc_id", (F.col("start") + skip).alias("start"), size.alias("length"), F.crc32(part).alias("ids_crc32"), "doc_tokens", "sequence_id", (F.col("used") + F.col("a") - F.col("gpos")).alias("offset"))
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN, end_id: int = END_ID, path: str | None = None, least: int = MIN_CUT) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
+def pack(docs: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN, end_id: int = END_ID, path: str | None = None, least: int = MIN_CUT, cached: int | None = None) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece; cached is the number of units a worker keeps."""
     spark = docs.sparkSession
-    cut = materialize(pieces(docs, capacity, grain, end_id, path or vocabulary()), "pieces")
+    cut = materialize(pieces(docs, capacity, grain, end_id, path or vocabulary(), cached), "pieces")
     by_kind = {r["kind"]: (r["n"], r["size"]) for r in cut.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("size")).collect()}  # at most capacity / grain + 1 rows
     demand = np.zeros(capacity // grain, np.int64)
     for k, (n, _) in by_kind.items():

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Units a worker keeps at most, but for those of one chunk (about 250 bytes each).
+#: Units a worker keeps at most, but for those of one chunk (about 250 bytes each), unless it is asked for another number.
 CACHED = 800_000
 #: Characters of the texts that are cut at once; a longer text is a chunk of its own.
 CHUNK = 4 << 20
@@ -46,9 +46,10 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int | None = None):
         import os
 
+        self.cached = cached or CACHED
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -96,7 +97,7 @@ class Encoder:
         return out
 
     def _ids(self, units: list[str]) -> list[bytes]:
-        if len(self.kept) + len(units) > CACHED // 2:
+        if len(self.kept) + len(units) > self.cached // 2:
             self.old, self.kept = self.kept, {}
         found = list(map(self.kept.get, units))
         if None in found:
@@ -140,5 +141,5 @@ class Encoder:
 
 
 @lru_cache(1)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, cached: int | None = None) -> Encoder:
+    return Encoder(path, cached)
