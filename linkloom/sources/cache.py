@@ -7,12 +7,21 @@ import json
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Part of every name; to be raised when a table's definition changes.
-VERSION = 2
+
+@lru_cache(1)
+def code_version() -> str:
+    """A hash of this package's sources, part of every name: tables made by other code are not read."""
+    root = Path(__file__).resolve().parent.parent
+    found = hashlib.sha256()
+    for path in sorted(p for part in ("functions", "operators", "plans", "sources") for p in (root / part).glob("*.py")):
+        found.update(path.read_bytes())
+    return found.hexdigest()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,7 +64,7 @@ def ensure(spark: SparkSession, label: str, parts: tuple, build: Callable[[], Da
     It is written under another name and renamed when whole, so a table that is there is complete; of two writers the
     first wins.
     """
-    name = hashlib.sha256(repr((VERSION, *parts)).encode()).hexdigest()[:24]
+    name = hashlib.sha256(repr((code_version(), *parts)).encode()).hexdigest()[:24]
     path = f"{shared_dir(spark)}/linkage-{label}-{name}"
     place, files = _files(spark, path)
     if not files.exists(place):

@@ -389,7 +389,8 @@ def test_kept_tables_are_built_once(spark):
         built.append(1)
         return spark.range(3)
 
-    for parts in (("a", 1), ("a", 1), ("a", 2)):
+    name = cache.fresh_path(spark, "name")
+    for parts in ((name, 1), (name, 1), (name, 2)):
         assert cache.ensure(spark, "kept", parts, build).count() == 3
     assert len(built) == 2
 
