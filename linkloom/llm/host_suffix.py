@@ -10,8 +10,10 @@ own, and sorted into a suffix array by prefix doubling; a run of suffixes equal
 is a repeated substring, and doubling goes on until no run does. All tokens that lie in a repeat of DEPTH tokens or more are
 covered. A host whose streams exceed PART_TOKENS is dealt to several tasks by pages, each with an array of its own; what
 is repeated between them alone is found by the DEPTH-token windows of each part (a repeat of DEPTH tokens or more is a chain of
-repeated windows), so the parts' number does not change the result. Blocks of main zones take part as whole suffixes: one found
-on more than half of a host's distinct pages, of SITE_PAGES at least, is the site's and not the page's.
+repeated windows), so the parts' number does not change the result. The blocks of main zones, between marks, make a second array
+of every host's part, which counts the pages of each run of DEPTH tokens: a block all of whose runs are on more than half of a
+part's pages, and which is found whole on more than half of the host's distinct pages, of SITE_PAGES at least, is the site's
+and not the page's.
 
 Decision. Covered tokens and the site's blocks are removed. Of the unique runs that are left, those of main zones are the
 text; on a page without a main zone those of plain blocks are. Blocks marked as boilerplate never are. A main zone's other
@@ -34,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import is_small, map_batches, materialize, sliced, with_ids
+from .shingles import word_hashes
 
 DEPTH = 8
 #: Tokens of a host's streams that one suffix array is built over (a longer page is an array of its own).
@@ -41,6 +44,8 @@ PART_TOKENS = 1 << 18
 SITE_PAGES = 8
 PAGES_PER_BATCH = 200
 _SEED = np.uint64(0x9E3779B97F4A7C15)
+#: Marks around the blocks of main zones.
+_OPEN, _SHUT = np.array([0x2545F4914F6CDD1D], np.uint64), np.array([0x5851F42D4C957F2D], np.uint64)
 #: SOFT is boilerplate in which an article or main may still open a main zone; blocks() gives it as BOILER.
 PLAIN, MAIN, BOILER, DROP, SOFT = range(5)
 
@@ -185,36 +190,44 @@ def main_text(found: list[tuple[int, str]], spans: list[tuple[int, int]] = (), s
     return " ".join(kept)
 
 
-def suffix_array(ids: np.ndarray, owner: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, covered) of a concatenation of streams: the suffixes in order of their tokens as far as two owners share them,
-    and whether each token lies in a substring of depth tokens or more that suffixes of two owners begin with.
+def suffix_array(ids: np.ndarray, owner: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, covered, holders) of a concatenation of streams: the suffixes in order of their tokens as far as two owners share
+    them, whether each token lies in a substring of depth tokens or more that suffixes of two owners begin with, and how many
+    owners have a suffix with the first depth tokens of each suffix.
 
     Streams must be closed by ids that occur once, so that no repeat runs over the end of one.
     """
     n = len(ids)
-    rank = np.unique(ids, return_inverse=True)[1].astype(np.int64)
-    order, length, turn = np.argsort(rank, kind="stable"), 1, np.zeros(n + 1, np.int64)
+    rank, slots, length = np.unique(ids, return_inverse=True)[1].astype(np.int64), np.arange(n), 1
+    order, turn, holders = np.argsort(rank, kind="stable"), np.zeros(n + 1, np.int64), np.zeros(n, np.int64)
+    # a suffix's rank is the slot in order where its group begins; slots are those of groups still to be told apart
+    rank[order] = _firsts(rank[order], slots)
     while n:
         if length >= depth:
-            ranked = rank[order]
+            ranked, held = rank[order[slots]], owner[order[slots]]
             first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-            held = owner[order]
+            if length == depth:
+                holders = np.bincount(np.unique(rank * (owner.max() + 1) + owner) // (owner.max() + 1), minlength=n)[rank]
             shared = np.minimum.reduceat(held, first) != np.maximum.reduceat(held, first)
             if not shared.any():
                 break
-            at = order[np.repeat(shared, np.diff(np.append(first, n)))]
-            np.add.at(turn, at, 1)
-            np.add.at(turn, np.minimum(at + length, n), -1)
+            slots = slots[np.repeat(shared, np.diff(np.append(first, len(slots))))]
+            np.add.at(turn, order[slots], 1)
+            np.add.at(turn, np.minimum(order[slots] + length, n), -1)
         step = min(length, depth - length) if length < depth else length  # depth itself is met, then its doubles
-        ahead = np.full(n, -1, np.int64)
-        ahead[: max(0, n - step)] = rank[step:]
-        key = rank * (n + 1) + ahead + 1
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate(([0], ranked[1:] != ranked[:-1])))
+        at = order[slots]
+        key = rank[at] * (n + 1) + np.where(at + step < n, rank[np.minimum(at + step, n - 1)], -1) + 1
+        by = np.argsort(key, kind="stable")
+        order[slots] = at = at[by]
+        rank[at] = _firsts(key[by], slots)
         length += step
-    return order, np.cumsum(turn[:-1]) > 0
+    return order, np.cumsum(turn[:-1]) > 0, holders
+
+
+def _firsts(ranked: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """For each of the sorted values the slot of the first that equals it."""
+    new = np.concatenate(([True], ranked[1:] != ranked[:-1]))[: len(ranked)]
+    return slots[np.maximum.accumulate(np.where(new, np.arange(len(ranked)), 0))]
 
 
 def window_hashes(tokens: np.ndarray, depth: int) -> np.ndarray:
@@ -232,18 +245,45 @@ def _spans(mask: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0])))).tolist()
 
 
-def part_rows(pages: dict[int, np.ndarray], depth: int, several: bool) -> tuple[dict[int, tuple[list[int], list[int], list[int]]], list[int]]:
-    """For one host's part: page -> (spans, uncovered windows, their places), and the part's distinct windows if it has several parts."""
-    names, streams = list(pages), list(pages.values())
+def _closed(streams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, owner and first of the streams one after another, each closed by an id of its own."""
     sizes = np.array([len(t) for t in streams], np.int64)
     known, number = np.unique(np.concatenate(streams) if streams else np.empty(0, np.uint64), return_inverse=True)
     first = np.cumsum(sizes + 1) - sizes - 1
     ids = np.empty(int((sizes + 1).sum()), np.int64)
-    owner = np.repeat(np.arange(len(names)), sizes + 1)
     closing = np.zeros(len(ids), bool)
     closing[first + sizes] = True
     ids[~closing] = number
-    ids[closing] = len(known) + np.arange(len(names))
+    ids[closing] = len(known) + np.arange(len(streams))
+    return ids, np.repeat(np.arange(len(streams)), sizes + 1), first
+
+
+def site_lines(pages: list[list[tuple[int, np.ndarray]]], depth: int) -> set[int]:
+    """Hashes of main blocks, given as (hash, tokens) by page, all of whose runs of depth tokens are on more than half of the pages.
+
+    A block runs from an opening mark to a closing one, which is repeated up to depth, so a shorter block is one run.
+    """
+    streams, at = [], []
+    for own in pages:
+        parts, size = [np.empty(0, np.uint64)], 0
+        for line, tokens in own:
+            parts += [_OPEN, tokens, np.repeat(_SHUT, max(1, depth - 1 - len(tokens)))]
+            at.append((len(streams), size, line, max(1, len(tokens) + 2 - depth)))
+            size += 1 + len(tokens) + len(parts[-1])
+        streams.append(np.concatenate(parts))
+    if not at:
+        return set()
+    ids, owner, first = _closed(streams)
+    rare = np.concatenate(([0], np.cumsum(2 * suffix_array(ids, owner, depth)[2] <= len(pages))))
+    page, place, line, runs = (np.array(c, np.int64) for c in zip(*at))
+    place += first[page]
+    return set(line[rare[place + runs] == rare[place]].tolist())
+
+
+def part_rows(pages: dict[int, np.ndarray], depth: int, several: bool) -> tuple[dict[int, tuple[list[int], list[int], list[int]]], list[int]]:
+    """For one host's part: page -> (spans, uncovered windows, their places), and the part's distinct windows if it has several parts."""
+    names, streams = list(pages), list(pages.values())
+    ids, owner, first = _closed(streams)
     covered = suffix_array(ids, owner, depth)[1] if len(ids) else np.empty(0, bool)
     out, windows = {}, set()
     for name, tokens, a in zip(names, streams, first):
@@ -265,67 +305,76 @@ def covered_spans(pages: DataFrame, depth: int = DEPTH, part_tokens: int = PART_
     u and page are hashes of url and html; spans are covered (start, end, ...), at begins of further covered windows.
     """
     import pyarrow as pa
+    import zstandard
 
     def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor()
         for batch in sliced(batches, PAGES_PER_BATCH):
             host, tokens, sizes, lines, opened = [], [], [], [], []
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = blocks(page)
-                stream = [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in _outside(found)]
+                # a line of all outside tokens, then one of each main block; a token has no white space
+                stream = [" ".join(_outside(found)), *(text for z, text in found if z == MAIN)]
                 host.append(text_hash(host_of(url) if url is not None else "\0"))
-                tokens.append(np.array(stream, np.uint64).tobytes())
-                sizes.append(len(stream))
-                lines.append(sorted({text_hash(text) for z, text in found if z == MAIN}))
+                tokens.append(pack.compress("\n".join(stream).encode("utf-8", "surrogatepass")))
+                sizes.append(sum(text.count(" ") + 1 for text in stream))
+                lines.append(sorted({text_hash(text) for text in stream[1:]}))
                 opened.append(is_open(found))
             made = [pa.array(host, pa.int64()), pa.array(tokens, pa.binary()), pa.array(sizes, pa.int64()), pa.array(lines, pa.list_(pa.int64())), pa.array(opened, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*made, batch.column(2), batch.column(3)], ["host", "tokens", "size", "lines", "opened", "u", "page"])
 
     read = pages.select("url", "html", F.xxhash64("url").alias("u"), F.xxhash64("html").alias("page"))
     stream = materialize(map_batches(read, streams, "host long, tokens binary, size long, lines array<long>, opened boolean, u long, page long"), "streams")
-    single = stream.groupBy("host", "page").agg(F.first("lines").alias("lines"))
-    hosts = single.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= site_pages)
-    common = single.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
-    common = materialize(common.join(hosts, "host").filter("2 * n > pages").select("host", "line"), "site-blocks")
-    site = stream.select("host", "u", "page", F.explode("lines").alias("line")).join(common, ["host", "line"]).groupBy("u", "page").agg(F.collect_set("line").alias("site"))
-
-    # suffix arrays only where a page without a main zone may gain from them
-    sizes = stream.groupBy("host").agg(F.sum("size").alias("tokens_"), F.max("opened").alias("any")).filter("any")
-    sizes = materialize(sizes.select("host", F.greatest(F.lit(1), F.ceil(F.col("tokens_") / part_tokens)).alias("parts")), "host-parts")
+    sizes = stream.groupBy("host").agg(F.sum("size").alias("tokens_"), F.max("opened").alias("any"))
+    sizes = materialize(sizes.select("host", F.greatest(F.lit(1), F.ceil(F.col("tokens_") / part_tokens)).alias("parts"), "any"), "host-parts")
     dealt = with_ids(stream.drop("lines"), sizes, "host", "inner").withColumn("part", F.pmod(F.xxhash64("page"), F.col("parts")))
     dealt = dealt.repartition("host", "part").sortWithinPartitions("host", "part", "page", "u")
-    kinds = "host long, part long, u long, page long, spans array<int>, windows array<long>, at array<int>"
+    kinds = "host long, part long, u long, page long, spans array<int>, windows array<long>, at array<int>, site array<long>"
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
         names = [c.split()[0] for c in kinds.split(", ")]
-        now, held, asked = None, {}, []
+        now, held, main, asked, unpack = None, {}, {}, [], zstandard.ZstdDecompressor()
 
         def close() -> Iterator[pa.RecordBatch]:
-            host, part, parts = now
-            found, windows = part_rows(held, depth, parts > 1)
-            rows = [(host, part, u, page, *found[page]) for u, page in dict.fromkeys(asked) if found[page][0] or found[page][1]]
-            if windows:
-                rows.append((host, part, None, None, None, windows, None))
+            host, part, parts, open_ = now
+            found, windows = part_rows(held, depth, open_ and parts > 1)
+            rows = [(host, part, u, page, *found[page], None) for u, page in dict.fromkeys(asked) if found[page][0] or found[page][1]]
+            lines = site_lines(list(main.values()), depth)
+            if windows or lines:
+                rows.append((host, part, None, None, None, windows, None, sorted(lines)))
             for a in range(0, len(rows), PAGES_PER_BATCH):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + PAGES_PER_BATCH]), types)], names)
 
         for batch in sliced(batches):
-            for host, part, parts, u, page, tokens, opened in zip(*[c.to_pylist() for c in batch.columns]):
-                if now != (host, part, parts):
+            for host, part, parts, open_, u, page, tokens, opened in zip(*[c.to_pylist() for c in batch.columns]):
+                if now != (host, part, parts, open_):
                     if now:
                         yield from close()
-                    now, held, asked = (host, part, parts), {}, []
-                held[page] = np.frombuffer(tokens, np.uint64)
+                    now, held, main, asked = (host, part, parts, open_), {}, {}, []
+                if page not in held:
+                    outside, *texts = unpack.decompress(tokens).split(b"\n")
+                    held[page] = word_hashes(outside)[0]
+                    main[page] = [(xxhash.xxh64_intdigest(text) - (1 << 63), word_hashes(text)[0]) for text in texts]
                 if opened:
                     asked.append((u, page))
         if now:
             yield from close()
 
-    found = materialize(map_batches(dealt.select("host", "part", "parts", "u", "page", "tokens", "opened"), arrays, kinds), "suffix-repeats")
+    found = materialize(map_batches(dealt.select("host", "part", "parts", "any", "u", "page", "tokens", "opened"), arrays, kinds), "suffix-repeats")
     ours = found.filter("page IS NOT NULL")
     between = found.filter("page IS NULL").select("host", "part", F.explode("windows").alias("w")).groupBy("host", "w").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("host", "w")
     met = ours.select("host", "u", "page", F.explode(F.arrays_zip("windows", "at")).alias("z")).select("host", "u", "page", F.col("z.windows").alias("w"), F.col("z.at").alias("k"))
     met = met.join(between, ["host", "w"]).groupBy("u", "page").agg(F.collect_set("k").alias("at"))
+    # a block that most of a host's pages have is on most pages of one part at least; of those that a part gives, all pages are counted
+    given = materialize(found.select("host", F.explode("site").alias("line")).distinct(), "site-candidates")
+    single = stream.select("host", "page").distinct()
+    hosts = single.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= site_pages)
+    held_by = with_ids(stream.select("host", "u", "page", F.explode("lines").alias("line")), given, ["host", "line"], "inner")
+    common = held_by.select("host", "line", "page").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    common = materialize(common.join(hosts, "host").filter("2 * n > pages").select("host", "line"), "site-blocks")
+    site = held_by.join(common, ["host", "line"]).groupBy("u", "page").agg(F.collect_set("line").alias("site"))
+
     spans = ours.select("u", "page", "spans").dropDuplicates(["u", "page"]).join(met, ["u", "page"], "left")
     return materialize(spans.filter("size(spans) > 0 OR at IS NOT NULL"), "covered"), materialize(site, "site-pages")
 

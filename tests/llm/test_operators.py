@@ -705,6 +705,23 @@ def test_suffix_array_against_brute_force():
                 assert (mask == want[i]).all()
 
 
+def test_suffix_array_finds_the_sites_blocks():
+    """Blocks of main zones, of any length, against a count of whole blocks: of unlike blocks the array takes those that most pages have."""
+    import numpy as np
+
+    from linkloom.llm import host_suffix as h
+
+    rng = np.random.default_rng(5)
+    known = [rng.integers(0, 1 << 40, n).astype(np.uint64) for n in (1, 2, 5, 6, 7, 8, 9, 15, 16, 40)]
+    for depth in (3, 8):
+        for _ in range(10):
+            pages = [[int(k) for k in np.flatnonzero(rng.random(len(known)) < 0.5)] for _ in range(9)]
+            own = [[(k, known[k]) for k in page] + [(100 + i, rng.integers(0, 1 << 40, 12).astype(np.uint64))] for i, page in enumerate(pages)]
+            assert h.site_lines(own, depth) == {k for k in range(len(known)) if 2 * sum(k in page for page in pages) > len(pages)}
+    part = [[(1, known[7]), (2, known[7][3:])], [(1, known[7])], [(3, known[7][:-1])]]  # the end of a block is not the block; its beginning is told apart by the count of whole blocks that follows
+    assert h.site_lines(part, 8) == {1, 3} and h.site_lines([[], []], 8) == set() and h.site_lines([], 8) == set()
+
+
 def test_array_alone_removes_boilerplate(spark):
     """Without marks the array decides, however a host is dealt to parts; inside articles it takes what most of a host's pages have."""
     from linkloom.llm import host_suffix as h
