@@ -766,6 +766,26 @@ def test_packing_fills_gaps_and_keeps_null_ids(spark):
     assert sum(r["length"] for r in out if r["doc_id"] is None) == len(library([texts[3]], 1)[0])
 
 
+def test_windows_that_meet_have_a_hub_that_meets_both(spark):
+    """Of windows of one hash any two that overlap far enough are paired with one hub, though the hash's smallest document meets neither."""
+    from linkloom.llm.compact_windows import _window_pairs
+
+    rng, window = random.Random(8), 6
+    given = [(1, 1, 50, 0, 5), (1, 2, 60, 5, 1), (1, 3, 70, 5, 0)]
+    for key in range(2, 40):
+        for _ in range(rng.randint(2, 12)):
+            left = rng.randint(0, window - 1)
+            given.append((key, rng.randint(1, 8), rng.randint(10, 90), left, rng.randint(window - 1 - left, window - 1)))
+    live = spark.createDataFrame([(k, v, p << 16 | x << 8 | y) for k, v, p, x, y in given], "key long, v long, place long").repartition(4)
+    out = {(r["v"], r["hub"], r["p"], r["q"]) for r in rows(_window_pairs(live, window))}
+    meets = lambda a, b: a[0] == b[0] and min(a[3], b[3]) + min(a[4], b[4]) + 1 >= window
+    met = {(a[1], b[1], a[2], b[2]) for a in given for b in given if a[1] != b[1] and meets(a, b)}
+    assert (3, 2, 70, 60) in out and out <= met
+    linked = {(v, h) for v, h, _, _ in out}
+    for a, b in ((a, b) for a in given for b in given if a[1] < b[1] and meets(a, b)):
+        assert any(all(x[1] == h or (x[1], h) in linked for x in (a, b)) for h in range(1, 9)), (a, b)
+
+
 def test_recall_of_edited_passages(spark):
     """Of passages of 52 to 70 words planted in two documents each, one copy with one or two words changed, at least 0.9 are linked."""
     from linkloom.llm import compact_windows as c
