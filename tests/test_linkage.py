@@ -475,3 +475,21 @@ def test_every_query_is_registered_and_entry_runs(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_partial_similarity_looks_up_the_shorter_string_once(monkeypatch):
+    """The windows share one table of the shorter string's characters; the result is the best of all windows."""
+    import random
+
+    from linkloom.functions import similarity as sim
+
+    rng, made = random.Random(4), []
+    whole = getattr(sim, "char_places", None)
+    monkeypatch.setattr(sim, "char_places", lambda a: made.append(a) or whole(a))
+    for _ in range(200):
+        a, b = ("".join(rng.choices("abc é", k=rng.randint(1, 9))) for _ in range(2))
+        made.clear()
+        found, calls = sim.partial_one(a, b), len(made)
+        short, long = sorted((a, b), key=len)
+        windows = [long[max(0, i) : i + len(short)] for i in range(1 - len(short), len(long))]
+        assert calls <= 1 and found == max(1.0 * (a in b or b in a), *(sim.indel_one(short, w) for w in windows))
