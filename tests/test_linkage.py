@@ -493,3 +493,55 @@ def test_partial_similarity_looks_up_the_shorter_string_once(monkeypatch):
         short, long = sorted((a, b), key=len)
         windows = [long[max(0, i) : i + len(short)] for i in range(1 - len(short), len(long))]
         assert calls <= 1 and found == max(1.0 * (a in b or b in a), *(sim.indel_one(short, w) for w in windows))
+
+
+def test_batched_string_distances_equal_those_of_single_pairs():
+    """Lengths around a machine word, beyond a grid and none at all; scripts; edits; a string that ends in NUL."""
+    import random
+
+    from linkloom.functions import kernels
+    from linkloom.functions import similarity as sim
+
+    rng, a, b = random.Random(3), ["a\0", "\0", "ab"], ["a", "", "ab\0"]
+    for k in range(1500):
+        alphabet, sizes = rng.choice(["ab", "abc é", "abcdefgh ij", "नगर ab Завод"]), [0, 1, 2, 5, 9, 30, 63, 64, 65, 90, 520] if k % 20 == 0 else [0, 1, 2, 3, 5, 9, 30]
+        x, y = ("".join(rng.choices(alphabet, k=rng.choice(sizes))) for _ in "ab")
+        if k % 3 == 0 and x:
+            cut = rng.randrange(len(x))
+            y = x[:cut] + rng.choice(["", "x", "a b"]) + x[cut + rng.randint(0, 2) :]
+        a.append(x)
+        b.append(y)
+    for kind, kernel in sim.KERNELS.items():
+        assert kernels.scores((kind,), a, b)[kind].tolist() == [kernel(x, y) for x, y in zip(a, b)], kind
+        assert kernels.scores((kind,), [], [])[kind].tolist() == []
+
+
+def test_feature_matrix_looks_each_pair_up_once(spark):
+    from linkloom.operators import learning, linkage
+    from linkloom.plans.chain import Chain
+
+    c = Chain(spark, SF)
+    pairs = c.topk.select("s1_id", "other_id").limit(200)
+    matrix = learning.feature_matrix(pairs, c.records, c.aggregates)
+    plan = matrix._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(line.strip(" :+-").startswith("Join") for line in plan.splitlines()) == 3  # both sides' records, and the aggregates
+    keys = ["s1_id", "other_id"]
+    apart = linkage.fuzzy_features(pairs, c.records).join(linkage.native_features(pairs, c.records), keys)
+    assert sorted(map(tuple, matrix.select(*apart.columns).collect())) == sorted(map(tuple, apart.collect()))
+
+
+def test_training_reads_the_features_once(spark):
+    from pyspark.sql import functions as F
+
+    from linkloom.operators import learning
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        seen.add(1)
+        return x
+
+    rows = spark.createDataFrame([(f"S1-{i}", f"S2-{i}", float(i % 2), "learn") for i in range(100)], "s1_id string, other_id string, label double, part string")
+    features = rows.select("s1_id", "other_id", F.udf(counted, "double").asNondeterministic()("label").alias("f1"))
+    assert learning.train(rows, features, trees=2).getNumTrees == 2
+    assert seen.value == 100
