@@ -545,3 +545,14 @@ def test_training_reads_the_features_once(spark):
     features = rows.select("s1_id", "other_id", F.udf(counted, "double").asNondeterministic()("label").alias("f1"))
     assert learning.train(rows, features, trees=2).getNumTrees == 2
     assert seen.value == 100
+
+
+def test_a_kept_table_is_followed_by_a_release(spark, monkeypatch):
+    """Plans and shuffle files of a table that has been written do not stay until the driver's memory is full."""
+    from linkloom.sources import cache
+
+    calls = []
+    monkeypatch.setattr(cache, "release", lambda s: calls.append(s))
+    for _ in range(2):
+        assert cache.ensure(spark, "released", (str(id(calls)),), lambda: spark.range(3)).count() == 3
+    assert len(calls) == 1
