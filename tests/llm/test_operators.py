@@ -805,3 +805,16 @@ def test_recall_of_edited_passages(spark):
     found = sum((2 * k, 2 * k + 1) in out for k in range(n))
     assert found >= 0.9 * n, found
     assert all(b in (a, a + 1) for a, b in out)
+
+
+def test_passage_tables_that_nothing_reads_again_are_deleted(spark):
+    from pathlib import Path
+
+    from linkloom.llm import common, compact_windows
+
+    root = Path(common.shared_dir(spark).removeprefix("file:"))
+    labels = ("shared-keys", "shared-windows", "half-groups", "shared-halves", "run-anchors", "runs")
+    left = lambda: {p.name for label in labels for p in root.glob(f"{label}-*")}
+    before, text = left(), " ".join(f"w{i}" for i in range(90))
+    found = compact_windows.repeated_passages(spark.createDataFrame([(1, text), (2, "x " + text)], "doc_id long, text string"))
+    assert found.count() == 2 and left() == before
