@@ -818,3 +818,58 @@ def test_passage_tables_that_nothing_reads_again_are_deleted(spark):
     before, text = left(), " ".join(f"w{i}" for i in range(90))
     found = compact_windows.repeated_passages(spark.createDataFrame([(1, text), (2, "x " + text)], "doc_id long, text string"))
     assert found.count() == 2 and left() == before
+
+
+def test_pairs_that_share_one_short_run_by_chance_move_no_texts(spark, monkeypatch):
+    """Texts of pairs whose only common run cannot grow are not moved; edited passages still are, and windows of a key move once."""
+    from linkloom.llm import compact_windows as c
+
+    rng, kept, hopeful = random.Random(31), [], c._hopeful
+
+    def spied(met, *more):
+        out = hopeful(met, *more)
+        kept.append((met.count(), {(r["v"], r["hub"]) for r in rows(out)}))
+        return out
+
+    monkeypatch.setattr(c, "_hopeful", spied)
+    fresh = lambda n: [f"h{rng.randint(0, 10**7)}" for _ in range(n)]
+    passage = fresh(60)
+    edited = passage[:27] + ["changed"] + passage[28:]
+    texts = [fresh(60) + short + fresh(60) for short in (fresh(6) for _ in range(100)) for _ in range(2)] + [fresh(30) + passage + fresh(8), edited + fresh(30)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = {(r["doc_id"], r["class_id"], r["start_word"], r["n_words"], r["matched_words"]) for r in rows(c.repeated_passages(df))}
+    assert out == {(200, 200, 30, 60, 60), (201, 200, 0, 60, 59)}
+    met, left = kept[0]
+    assert met > 5 and left == {(201, 200)}
+
+    live = spark.createDataFrame([(1, 1, 50 << 16 | 3 << 8 | 3), (1, 2, 50 << 16 | 3 << 8 | 3)], "key long, v long, place long")
+    assert c._window_pairs(live, 6)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_what_is_left_out_before_texts_move_has_no_passage():
+    """Over few words, where runs by chance are common, a pair that goes_on leaves out has no passage by its whole texts."""
+    import numpy as np
+
+    from linkloom.llm.compact_windows import goes_on, passages, surroundings
+
+    rng = np.random.default_rng(17)
+    out = kept = 0
+    for round in range(3_000):
+        a, b = (rng.integers(0, (3, 12, 70_000)[round % 3], rng.integers(20, 120)).astype(np.uint32) for _ in range(2))
+        p, q = int(rng.integers(0, len(a) - 5)), int(rng.integers(0, len(b) - 5))
+        n = int(rng.integers(5, 60))
+        back = min(p, q, int(rng.integers(0, 40)))
+        n = min(n + back, len(a) - p + back, len(b) - q + back)
+        run = a[p - back : p - back + n].copy()
+        if round % 5:
+            edits = rng.integers(0, n, rng.integers(1, 8))
+            run[edits[(edits < back) | (edits >= back + 5)]] += 1
+        if round % 7 == 0 and n > back + 12:  # a word is missing
+            run[back + 6 : -1] = run[back + 7 :].copy()
+        b[q - back : q - back + n] = run
+        if not goes_on(surroundings(a, np.array([p]), 1, 5), surroundings(b, np.array([q]), 2, 5), 5)[0]:
+            out += 1
+            assert not passages(a, b, [(p, q)], 11, 80), (round, p, q)
+        else:
+            kept += 1
+    assert out > 150 and kept > 300
