@@ -873,3 +873,58 @@ def test_what_is_left_out_before_texts_move_has_no_passage():
         else:
             kept += 1
     assert out > 150 and kept > 300
+
+
+def test_edited_passages_behind_a_hub_that_shares_none(spark):
+    """Near-duplicate passages without 51 equal words in a row are found though the smallest documents hold their shingles apart."""
+    from linkloom.llm import compact_windows as c
+
+    rng = random.Random(41)
+    fresh = lambda n: [f"u{rng.randint(0, 10**7)}" for _ in range(n)]
+    passage = fresh(70)
+    edited = passage[:35] + ["changed"] + passage[36:]
+    hubs = [[w for k in range(66) for w in fresh(45) + passage[k : k + 5] + fresh(45)] for _ in range(14)]
+    texts = [*hubs, fresh(60) + passage + fresh(60), fresh(45) + edited + fresh(80)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = {(r["doc_id"], r["class_id"], r["start_word"], r["n_words"], r["matched_words"]) for r in rows(c.repeated_passages(df))}
+    assert out == {(14, 14, 60, 70, 70), (15, 14, 45, 70, 69)}
+
+
+def test_unsettled_windows_against_all_pairs(monkeypatch):
+    """Of the windows of a hash, the pairs with an open one that passages() links are all found; many that it does not are not compared."""
+    import numpy as np
+
+    from linkloom.llm import unsettled as u
+    from linkloom.llm.compact_windows import passages
+
+    monkeypatch.setattr(u, "FEW", 3)
+    monkeypatch.setattr(u, "PAIRS", 500)
+    rng = np.random.default_rng(5)
+    linked = given = kept = 0
+    for round in range(12):
+        n, line = 60, rng.integers(0, 1 << 32, 140).astype(np.uint32)
+        at, middle = 130, rng.integers(0, 40)
+        texts = rng.integers(0, 1 << 32, (n, 300)).astype(np.uint32)
+        for i in range(n):
+            base, width = (texts[i // 4 * 4], 90) if round % 3 else (line, rng.integers(5, 60))
+            back = min(int(middle), width - 5)
+            run = (base[at - back : at - back + width] if round % 3 else line[40 - back : 40 - back + width]).copy()
+            edits = rng.integers(0, width, rng.integers(0, 7))
+            run[edits[(edits < back) | (edits >= back + 5)]] += 1
+            if i % 3 == 0 and width > back + 20:
+                run[back + 9 : -1] = run[back + 10 :].copy()
+            texts[i, at - back : at - back + width] = run
+            texts[i, at : at + 5] = line[40:45]
+        around = np.concatenate([u.contexts(t, np.array([at]), i, 5) for i, t in enumerate(texts)])
+        open_, reach = rng.random(n) < 0.5, np.full(n, 39)
+        i, j = u.unsettled_pairs(np.zeros(n, np.int64), np.arange(n), reach, reach, open_, around, 40, 50)
+        found = set(zip(i.tolist(), j.tolist()))
+        for a in range(n):
+            for b in range(a + 1, n):
+                if open_[a] | open_[b]:
+                    given += 1
+                    if passages(texts[a], texts[b], [(at, at)], 50, 80):
+                        linked += 1
+                        assert (a, b) in found, (round, a, b)
+        kept += len(found)
+    assert linked > 100 and kept < given / 2, (linked, kept, given)
