@@ -928,3 +928,37 @@ def test_unsettled_windows_against_all_pairs(monkeypatch):
                         assert (a, b) in found, (round, a, b)
         kept += len(found)
     assert linked > 100 and kept < given / 2, (linked, kept, given)
+
+
+def test_unsettled_windows_make_few_pairs():
+    """A line in many documents, with a short equal run some words on, makes no pairs; a passage of n documents n - 1, which link all."""
+    import numpy as np
+
+    from linkloom.llm import unsettled as u
+
+    rng, n, at = np.random.default_rng(9), 60, 100
+    for line in (True, False):
+        texts = rng.integers(0, 1 << 32, (n, 260)).astype(np.uint32)
+        texts[:, at - 2 : at + 7] = texts[0, at - 2 : at + 7]
+        if line:
+            texts[:, at + 15 : at + 18] = texts[0, at + 15 : at + 18]
+        else:
+            texts[:, at - 20 : at + 45] = texts[0, at - 20 : at + 45]
+            for i in range(n):  # no run of 51 equal words
+                texts[i, at + 8 + i % 10] += 1 + i
+        around = np.concatenate([u.contexts(t, np.array([at]), i, 5) for i, t in enumerate(texts)])
+        reach, given = np.full(n, 39), (np.zeros(n, np.int64), np.arange(n))
+        every = u.unsettled_pairs(*given, reach, reach, np.ones(n, bool), around, 40, 50)
+        assert len(every[0]) == (0 if line else n * (n - 1) // 2)
+        i, j = u.unsettled_pairs(*given, reach, reach, np.ones(n, bool), around, 40, 50, linked=True)
+        label = list(range(n))
+        for a, b in zip(i.tolist(), j.tolist()):
+            label = [label[a] if x == label[b] else x for x in label]
+        assert len(i) == (0 if line else n - 1) and len(set(label)) == (n if line else 1)
+
+    # many short texts of which a line stands at the start: what lies before it is not alike
+    texts = rng.integers(0, 1 << 32, (600, 90)).astype(np.uint32)
+    around = np.concatenate([u.contexts(t, np.array([1]), i, 5) for i, t in enumerate(texts)])
+    cut = (around[:, : u.CONTEXT - 1] & 0xFF).astype(np.int64)
+    fives = sum(cut[:, k : cut.shape[1] - 4 + k] << 8 * k for k in range(5))
+    assert len(np.unique(fives)) > 0.99 * fives.size
